@@ -19,8 +19,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs).select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.quality_rules import quality_filter
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_filter(docs, _table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return scored.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_line_dedup": op10_line_dedup}
+    return {"op6_quality_rules": op6_quality_rules, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
