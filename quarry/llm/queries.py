@@ -19,6 +19,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs).select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.toxicity import fit_toxicity, held_out, score_toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = fit_toxicity(docs, _table(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs, net, keep=["doc_id"]).select("doc.doc_id", "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.quality_rules import quality_filter
 
@@ -28,7 +37,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_quality_rules": op6_quality_rules, "op10_line_dedup": op10_line_dedup}
+    return {"op5_toxicity": op5_toxicity, "op6_quality_rules": op6_quality_rules, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
