@@ -25,6 +25,14 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from quarry.llm.byte_bpe import round_trip_digests
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from quarry.llm.packing import pack
@@ -51,7 +59,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_jaccard_join": op1_jaccard_join, "op4_packing": op4_packing, "op5_toxicity": op5_toxicity, "op6_quality_rules": op6_quality_rules, "op10_line_dedup": op10_line_dedup}
+    return {"op1_jaccard_join": op1_jaccard_join, "op3_byte_bpe": op3_byte_bpe, "op4_packing": op4_packing, "op5_toxicity": op5_toxicity, "op6_quality_rules": op6_quality_rules, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
