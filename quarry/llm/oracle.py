@@ -21,4 +21,18 @@ WITH doc AS (
 SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM per_doc JOIN doc USING (row_id)
 """
 
-ORACLES = {"op10_line_dedup": OP10}
+OP8 = """
+WITH page AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), digested AS (
+  SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM page
+), led AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest, payload_bytes >= 100) END AS lead FROM digested
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN lead IS NULL OR page_id IS NOT DISTINCT FROM lead THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM lead THEN lead END AS refers_to
+FROM led
+"""
+
+ORACLES = {"op8_warc": OP8, "op10_line_dedup": OP10}

@@ -12,6 +12,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.warc import read_archives, write_archives
+
+    archives = write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.html_text import extract_text
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_text(pages, keep=["page_id", "url"]).select("doc.page_id", "doc.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.line_dedup import line_dedup
 
@@ -59,7 +73,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_jaccard_join": op1_jaccard_join, "op3_byte_bpe": op3_byte_bpe, "op4_packing": op4_packing, "op5_toxicity": op5_toxicity, "op6_quality_rules": op6_quality_rules, "op10_line_dedup": op10_line_dedup}
+    return {"op1_jaccard_join": op1_jaccard_join, "op3_byte_bpe": op3_byte_bpe, "op4_packing": op4_packing, "op5_toxicity": op5_toxicity, "op6_quality_rules": op6_quality_rules, "op8_warc": op8_warc, "op9_html_text": op9_html_text, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
