@@ -35,4 +35,16 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM led
 """
 
-ORACLES = {"op8_warc": OP8, "op10_line_dedup": OP10}
+OP2 = """
+WITH code AS (
+  SELECT vec_id, list_transform(embedding, lambda x: (coalesce(x, 0) > 0)::INT) AS bits FROM embeddings WHERE embedding IS NOT NULL
+), pair AS (
+  SELECT q.vec_id AS query_id, r.vec_id, list_sum(list_transform(list_zip(q.bits, r.bits), lambda p: (p[1] <> p[2])::INT))::INT AS distance
+  FROM (SELECT DISTINCT * FROM code WHERE vec_id % 100 = 0) q, code r
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id NULLS LAST)::INT AS rank FROM pair
+)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
+ORACLES = {"op2_hamming_topk": OP2, "op8_warc": OP8, "op10_line_dedup": OP10}

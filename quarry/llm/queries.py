@@ -12,6 +12,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.license_scan import license_scan
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan(docs, keep=["doc_id"])
+    return found.select("doc.doc_id", "license_family", F.round("probability", 6).alias("probability"), F.round("template_share", 6).alias("template_share"), F.array_join("families", ",").alias("families"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.warc import read_archives, write_archives
 
@@ -39,6 +47,12 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.hamming_topk import hamming_topk
+
+    return hamming_topk(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, k=10, bits=64)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from quarry.llm.byte_bpe import round_trip_digests
@@ -73,7 +87,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_jaccard_join": op1_jaccard_join, "op3_byte_bpe": op3_byte_bpe, "op4_packing": op4_packing, "op5_toxicity": op5_toxicity, "op6_quality_rules": op6_quality_rules, "op8_warc": op8_warc, "op9_html_text": op9_html_text, "op10_line_dedup": op10_line_dedup}
+    return {"op1_jaccard_join": op1_jaccard_join, "op2_hamming_topk": op2_hamming_topk, "op3_byte_bpe": op3_byte_bpe, "op4_packing": op4_packing, "op5_toxicity": op5_toxicity, "op6_quality_rules": op6_quality_rules, "op7_license_scan": op7_license_scan, "op8_warc": op8_warc, "op9_html_text": op9_html_text, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
