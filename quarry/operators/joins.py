@@ -49,19 +49,19 @@ def fuzzy_pairs(names: DataFrame, candidates: DataFrame, name: str, candidate: s
     """
     parts = most + 1
 
-    def piece(column: Column, i: Column, n: Column, shift: int) -> Column:
+    def piece(column: Column, i: Column, n: Column, shift: Column) -> Column:
         size = F.ceil(n / parts).cast("int")
         long = F.greatest(F.least(size, n - i * size), F.lit(0))
-        return F.struct(i.alias("i"), F.lower(F.substring(column, F.greatest(i * size + 1 + shift, F.lit(1)), long)).alias("p"), n.alias("n"))
+        return F.struct(i.cast("int").alias("i"), F.lower(F.substring(column, F.greatest(i * size + 1 + shift, F.lit(1)).cast("int"), long.cast("int"))).alias("p"), n.cast("int").alias("n"))
 
-    def pieces(column: Column, extra: int = 0, shift: int = 0) -> Column:
-        """The pieces of a name of this length plus ``extra``, read at a shifted place."""
-        n = F.length(column) + extra
-        return F.array(*[piece(column, F.lit(i), n, shift) for i in range(parts)])
+    def pieces(column: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: piece(column, i, F.length(column), F.lit(0)))
 
     def windows(column: Column) -> Column:
-        near = range(-most, most + 1)
-        return F.array_distinct(F.flatten(F.array(*[pieces(column, extra, shift) for extra in near for shift in near])))
+        """The pieces of a name of each near length, read at each near place."""
+        side = 2 * most + 1
+        every = F.sequence(F.lit(0), F.lit(parts * side * side - 1))
+        return F.array_distinct(F.transform(every, lambda j: piece(column, j % parts, F.length(column) + F.floor(j / parts).cast("int") % side - most, F.floor(j / (parts * side)).cast("int") - most)))
 
     left = names.select(name, F.explode(pieces(F.col(name))).alias("k"))
     right = candidates.select(candidate, F.explode(windows(F.col(candidate))).alias("k"))
