@@ -151,14 +151,14 @@ def dependency_report(edges: DataFrame) -> DataFrame:
 
 def call_sites(nodes: DataFrame, uses: DataFrame) -> DataFrame:
     """(path, caller, target_class, target, line, col, receiver): calls with the class they are known to go to ("*": any)."""
-    s = scripts(nodes).select("path", F.lower(F.coalesce("type_name", F.regexp_extract("path", r"([^/]+)\.gd$", 1))).alias("own"))
+    s = scripts(nodes).select("path", F.lower(F.coalesce("type_name", F.regexp_extract("path", r"([^/]+)\.gd$", 1))).alias("own"), F.lower("base").alias("up"))
     methods = nodes.select("path", "node_id", F.coalesce("method_id", F.when(F.col("kind") == "func", F.col("node_id"))).alias("m"))
     names = nodes.where("kind = 'func'").select("path", F.col("node_id").alias("m"), F.col("name").alias("caller"))
     calls = uses.where("role IN ('call', 'member_call')").join(methods, ["path", "node_id"]).join(names, ["path", "m"], "left").join(s, "path")
     typed = symbols(nodes).where("type_name IS NOT NULL AND kind IN ('var', 'local', 'param')").groupBy("path", F.col("name").alias("receiver")).agg(F.min(F.lower("type_name")).alias("known"))
     known = s.select(F.col("own").alias("receiver_key")).distinct().withColumn("is_class", F.lit(True))
     rows = calls.join(typed, ["path", "receiver"], "left").join(known, F.lower("receiver") == F.col("receiver_key"), "left")
-    target = F.when((F.col("role") == "call") | (F.col("receiver") == "self"), F.col("own")).when(F.col("receiver") == "super", F.lit("super")).when(F.col("is_class"), F.lower("receiver")).otherwise(F.coalesce("known", F.lit("*")))
+    target = F.when((F.col("role") == "call") | (F.col("receiver") == "self"), F.col("own")).when(F.col("receiver") == "super", F.coalesce("up", F.lit("*"))).when(F.col("is_class"), F.lower("receiver")).otherwise(F.coalesce("known", F.lit("*")))
     return rows.select("path", "caller", target.alias("target_class"), F.lower("name").alias("target"), "line", "col", "receiver")
 
 
@@ -180,7 +180,7 @@ def dead_code(nodes: DataFrame, uses: DataFrame, connections: DataFrame | None =
     key = s.select("path", "node_id", "kind", "name", "line", "col", "is_public", "modifiers", "method_id", F.lower("name").alias("key"))
     flag = lambda rows, name, keys: rows.select(*keys).distinct().withColumn(name, F.lit(True))
     called = key.where("kind = 'func'").join(effective, "path").join(calls.select(F.col("target_class").alias("effective"), F.col("target").alias("key")).distinct(), ["effective", "key"])
-    duck = calls.where("target_class IN ('*', 'super')").select(F.col("target").alias("key"))
+    duck = calls.where("target_class = '*'").select(F.col("target").alias("key"))
     local = uses.where("role IN ('read', 'member', 'call', 'member_call', 'operator')").select("path", "name")
     members = uses.where("role IN ('member', 'member_call', 'write') AND receiver IS NOT NULL").select(F.lower("name").alias("key"), F.col("path").alias("other"))
     texts = uses.where("role = 'string'").select(F.lower(F.regexp_replace("name", "^[&^]?[\"']|[\"']$", "")).alias("key"))

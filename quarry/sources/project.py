@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,9 +16,10 @@ from quarry.sources.script_parser import NODE_SCHEMA, USE_SCHEMA, parse
 
 def scan(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """(path, text) of all files below ``root`` that match a name pattern; paths are relative."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
-    at = F.col("_metadata.file_path")
-    return files.select(F.regexp_replace(at, f"^.*?{root.rstrip('/').replace('file://', '')}/", "").alias("path"), F.col("value").alias("text"))
+    # binaryFile keeps a file's last newline, which the text reader drops.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
+    return files.select(F.regexp_replace("path", f"^.*?{re.escape(base)}/", "").alias("path"), F.decode("content", "UTF-8").alias("text"))
 
 
 def in_memory(spark: SparkSession, files: dict[str, str]) -> DataFrame:
@@ -30,12 +32,10 @@ def content_hash(text: str = "text"):
     return F.substring(F.sha2(F.col(text).cast("binary"), 256), 1, 16)
 
 
-_NODE, _USE = T.StructType.fromDDL(NODE_SCHEMA), T.StructType.fromDDL(USE_SCHEMA)
-
-
 def parsed(files: DataFrame) -> DataFrame:
     """(path, nodes, uses, error): each script parsed once, in one Arrow pass."""
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("nodes", T.ArrayType(_NODE)), T.StructField("uses", T.ArrayType(_USE)), T.StructField("error", T.StringType())])
+    node, use = T.StructType.fromDDL(NODE_SCHEMA), T.StructType.fromDDL(USE_SCHEMA)
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("nodes", T.ArrayType(node)), T.StructField("uses", T.ArrayType(use)), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
