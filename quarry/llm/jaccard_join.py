@@ -10,14 +10,15 @@ for them: the at most 0.2 u unshared of u merged hashes leave a run of at least
 chance that 48 places in hash order hold no such pair is below 0.513 ** 48, or
 2e-14, for each linked pair, less than that of a collision of 64-bit hashes.
 
-Posted groups are first contracted: in two rounds every component of a group is
-verified against the group's first, by its most often proposed partner only.
+Posted groups are first contracted: in each of ``ROUNDS`` rounds every component
+of a group is verified against one head of the group (the member that shares
+most keys with others, later members by hash), by its most often proposed pair.
 What is still apart goes through signature trees.  Per group (split into pairs
 of blocks when large) nodes hold the OR of token bitmaps, the range of sizes,
 the largest number of tokens hidden by bitmap collisions and the component, if
 only one.  A dual traversal drops node pairs of one component, of sizes out of
-range, or whose largest possible overlap is too small.  Surviving pairs are
-verified on whole texts.  No round collects pairs or components on the driver.
+range, or whose largest possible overlap is too small.  A pair survives only in
+the group of its smallest common key and is verified on whole texts.  No round collects pairs or components on the driver.
 
 Defined results: null, empty and wordless texts have no shingles and stand
 alone; texts of one to four words have their whole sequence as one shingle;
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.staging import small_arrow_batches, staged
@@ -41,7 +42,8 @@ from quarry.llm.textkit import slices, string_buffers, whole_hash, window_hashes
 
 SHINGLE = 5
 KEYS = 48
-BITS = 1024
+BITS = 2048
+ROUNDS = 3
 LEAF, FAN, BLOCK = 16, 8, 1024
 NUMERATOR, DENOMINATOR = 80, 100
 
@@ -183,9 +185,20 @@ def _tree_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of every (key, left, right) group of rows sorted by group."""
 
     def joined(rows: pa.Table) -> pa.RecordBatch | None:
-        cid, size, comp = (rows.column(c).to_numpy() for c in ("cid", "n", "comp"))
+        cid, size, comp, own = (rows.column(c).to_numpy() for c in ("cid", "n", "comp", "own"))
+        key, left, right = (rows.column(c)[0].as_py() for c in ("key", "left", "right"))
         maps = np.frombuffer(b"".join(rows.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         x, y = SignatureTree(size, maps, comp).pairs()
+        if left != right:  # pairs within a block belong to that block's own group
+            apart = own[x] != own[y]
+            x, y = x[apart], y[apart]
+        if not len(x):
+            return None
+        used, lists = np.unique(np.concatenate([x, y])), rows.column("keys")
+        keys = dict(zip(used.tolist(), (np.array(k, np.int64) for k in lists.take(pa.array(used)).to_pylist()), strict=True))
+        below = {i: k[k < key] for i, k in keys.items()}
+        first = np.array([not len(np.intersect1d(below[a], below[b], assume_unique=True)) if len(below[a]) and len(below[b]) else True for a, b in zip(x.tolist(), y.tolist(), strict=True)], bool)
+        x, y = x[first], y[first]
         if not len(x):
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[x], cid[y])), pa.array(np.maximum(cid[x], cid[y]))], names=["a", "b"])
@@ -240,7 +253,7 @@ def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
     side = lambda c: comps.select(F.col("cid").alias(c), F.col("comp").alias(f"c{c}"))
     edges = links.join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     roots = connected_components(edges)
-    return staged(comps.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("cid", F.coalesce("root", "comp").alias("comp")), "comps")
+    return staged(comps.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("cid", F.coalesce("root", "comp").alias("comp"), "hub"), "comps")
 
 
 def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -262,13 +275,13 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     posted = classes.select("cid", F.explode("keys").alias("key"))
     shared_keys = posted.groupBy("key").agg(F.count("*").alias("m")).where("m >= 2")
     groups = staged(posted.join(shared_keys.hint("merge"), "key"), "groups")
-    involved = staged(groups.select("cid").distinct(), "involved")
-    wanted = involved.join(classes.select("cid", "least.rk"), "cid")
+    involved = staged(groups.groupBy("cid").agg(F.sum("m").alias("hub")), "involved")
+    wanted = involved.select("cid").join(classes.select("cid", "least.rk"), "cid")
     # Rows that share a row key are equal rows, so any one of them serves.
     texts = staged(body.join(wanted.hint("merge"), "rk").groupBy("rk", "cid").agg(F.first("text").alias("text")).select("cid", "text"), "texts")
-    comps = involved.select("cid", F.col("cid").alias("comp"))
-    for _ in range(2):
-        comps = _merge(comps, _links(_star_pairs(groups, comps), texts))
+    comps = involved.select("cid", F.col("cid").alias("comp"), "hub")
+    for k in range(ROUNDS):
+        comps = _merge(comps, _links(_star_pairs(groups, comps, F.xxhash64("cid", F.lit(k)) if k else F.col("hub")), texts))
     comps = _merge(comps, _links(_tree_pairs(groups, comps, classes), texts))
     labelled = classes.select("digest", "cid", "least").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     tops = labelled.groupBy("comp").agg(F.min("least").alias("top"))
@@ -280,27 +293,28 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _apart(groups: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of the groups that still hold two components, with the group's first member of the lowest."""
+def _apart(groups: DataFrame, comps: DataFrame, rank: Column) -> DataFrame:
+    """Members of the groups that still hold two components, with the group's member of highest rank."""
     members = staged(groups.join(comps, "cid"), "members")
-    heads = members.groupBy("key").agg(F.min(F.struct("comp", "cid")).alias("head"), F.max("comp").alias("last")).where("head.comp < last")
+    ranked = F.max(F.struct(rank.alias("rank"), "cid", "comp")).alias("head")
+    heads = members.groupBy("key").agg(ranked, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     return members.join(heads.select("key", "head").hint("merge"), "key")
 
 
-def _star_pairs(groups: DataFrame, comps: DataFrame) -> DataFrame:
-    """For every component but a group's lowest, one pair: the head it is proposed to most often."""
-    votes = _apart(groups, comps).where("comp <> head.comp").select(F.col("head.cid").alias("a"), "cid", "comp").groupBy("a", "cid", "comp").agg(F.count("*").alias("v"))
+def _star_pairs(groups: DataFrame, comps: DataFrame, rank: Column) -> DataFrame:
+    """For every component that isn't its groups' head's, one pair: the head it is proposed to most often."""
+    votes = _apart(groups, comps, rank).where("comp <> head.comp").select(F.col("head.cid").alias("a"), "cid", "comp").groupBy("a", "cid", "comp").agg(F.count("*").alias("v"))
     best = votes.groupBy("comp").agg(F.max(F.struct("v", "a", "cid")).alias("best"))
     return best.select(F.col("best.a").alias("a"), F.col("best.cid").alias("b"))
 
 
 def _tree_pairs(groups: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs from the signature trees of all groups that still hold two components."""
-    rows = _apart(groups, comps).select("key", "cid", "comp", "m").join(classes.select("cid", "n", "bitmap"), "cid")
+    rows = _apart(groups, comps, F.col("hub")).select("key", "cid", "comp", "m").join(classes.select("cid", "n", "bitmap", "keys"), "cid")
     n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "cid", "comp", "n", "bitmap")
+    rows = rows.select("key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "cid", "comp", "n", "bitmap", "keys")
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
     dealt = rows.repartition(int(parts), "key", "left", "right").sortWithinPartitions("key", "left", "right")
     return dealt.mapInArrow(_tree_groups, "a long, b long").distinct()
