@@ -348,3 +348,25 @@ def unsuppressed(issues: DataFrame, directives: DataFrame) -> DataFrame:
     block = F.max(F.when(k.isin("disable", "enable") & (F.col("at") <= F.col("line")), F.struct("at", (k == "disable").alias("off"))))
     off = pairs.groupBy("_id").agg(F.max(hit).alias("hit"), block.alias("block")).where("hit OR block.off")
     return i.join(off.select("_id"), "_id", "left_anti").drop("_id")
+
+
+# Calls that run or open what they are given.
+UNSAFE = [("SEC010", "OS", "execute", "Critical"), ("SEC011", "OS", "shell_open", "High"), ("SEC012", None, "str2var", "Medium"), ("SEC012", None, "str_to_var", "Medium")]
+
+
+def unsafe_calls(uses: DataFrame) -> DataFrame:
+    """(path, line, code, severity): unsafe calls, and paths put together inside a load or open."""
+    calls = uses.where("role IN ('call', 'member_call')")
+    tests = [((F.col("name") == name) & (F.col("receiver") == receiver if receiver else F.lit(True)), c, severity) for c, receiver, name, severity in UNSAFE]
+    joined = F.col("name").isin("load", "open") & F.col("argument").contains(" + ") & F.col("argument").rlike("(?i)user|input|path")
+    tests.append((joined, "SEC020", "High"))
+    hits = F.array_compact(F.array(*[F.when(t, F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"))) for t, c, s in tests]))
+    return calls.select("path", "line", F.explode(hits).alias("h")).select("path", "line", "h.code", "h.severity")
+
+
+def signal_connections(nodes: DataFrame, uses: DataFrame) -> DataFrame:
+    """(path, signal, callback, line): connect calls on signals and by name."""
+    connects = uses.where("role IN ('member_call', 'call') AND name = 'connect'")
+    by_name = F.regexp_extract("argument", "^[&]?[\"'](.*)[\"']$", 1)
+    callback = F.regexp_extract("argument", r"^(?:self \. )?(\w+)(?: \. bind .*)?$", 1)
+    return connects.select("path", F.when(by_name != "", by_name).otherwise(F.col("receiver")).alias("signal"), F.when(by_name == "", F.nullif(callback, F.lit(""))).alias("callback"), "line")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import code
+from quarry.operators import code, edits, types
 from quarry.sources import project, sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,76 @@ def autoloads(spark):
 @_query
 def resource_properties(spark):
     return project.resource_properties(project.in_memory(spark, sample.RESOURCES))
+
+
+@_query
+def declared_types(spark):
+    return types.declared_types(sample_project(spark).nodes)
+
+
+@_query
+def return_types(spark):
+    return types.return_types(sample_project(spark).nodes).withColumn("types", F.array_join("types", "|"))
+
+
+@_query
+def parameter_types(spark):
+    p = sample_project(spark)
+    return types.parameter_types(p.nodes, p.uses).withColumn("types", F.array_join("types", "|"))
+
+
+@_query
+def type_conflicts(spark):
+    return types.type_conflicts(sample_project(spark).nodes)
+
+
+@_query
+def narrowings(spark):
+    return types.narrowings(sample_project(spark).nodes)
+
+
+@_query
+def may_be_null(spark):
+    p = sample_project(spark)
+    return types.may_be_null(p.nodes, p.uses)
+
+
+@_query
+def duck_types(spark):
+    p = sample_project(spark)
+    return types.duck_types(p.nodes, p.uses).select("path", "name", F.array_join("needs", ",").alias("needs"), F.array_join("fits", ",").alias("fits"))
+
+
+@_query
+def rename_plan(spark):
+    p = sample_project(spark)
+    return edits.rename_plan(p.nodes, p.uses, "count", "amount")
+
+
+@_query
+def formatted(spark):
+    files = sample_project(spark).files
+    return files.select("path", edits.formatted(F.col("text")).alias("text"))
+
+
+@_query
+def quick_fixes(spark):
+    p = sample_project(spark)
+    return edits.quick_fixes(code.lint(p.files, p.nodes, p.uses))
+
+
+@_query
+def unsafe_calls(spark):
+    p = sample_project(spark)
+    return code.unsafe_calls(p.uses)
+
+
+@_query
+def signal_connections(spark):
+    p = sample_project(spark)
+    return code.signal_connections(p.nodes, p.uses)
+
+
+@_query
+def scene_edges(spark):
+    return project.scene_edges(project.in_memory(spark, sample.SCENES))

@@ -119,3 +119,9 @@ def resource_properties(resources: DataFrame) -> DataFrame:
     rows = sections(resources)
     kind = rows.where(F.col("header").startswith("[gd_resource")).groupBy("path").agg(F.max(_attribute("script_class")).alias("script_class"))
     return rows.where("header = '[resource]' AND key IS NOT NULL").join(kind, "path", "left").select("path", "script_class", "key", "value")
+
+
+def scene_edges(scenes: DataFrame) -> DataFrame:
+    """(src, dst, kind): sub-scenes, scripts and other resources that a scene uses."""
+    kind = F.when(F.col("type") == "PackedScene", "SubScene").when(F.col("type") == "Script", "Script").otherwise("Resource")
+    return scene_resources(scenes).select(F.col("path").alias("src"), F.regexp_replace("target", "^res://", "").alias("dst"), kind.alias("kind"))

@@ -88,6 +88,38 @@ func load_it():
 \tvar reported = 2   
 \tvar x = load("res://util/helper.gd")
 \treturn x
+''',
+    "core/risky.gd": '''extends Node
+
+var target: Node2D = null
+
+
+func _ready():
+\tself.ready.connect(on_ready)
+\tOS.execute("rm", [])
+\ttarget.show()
+\tif target != null:
+\t\ttarget.hide()
+\tgreet("me")
+\tgreet("you")
+
+
+func on_ready():
+\tvar file = load("user://" + user_path)
+\treturn file
+
+
+func greet(who):
+\tvar size: int = "big"
+\tprint(who, size)
+
+
+func measure(thing):
+\tif thing is Node and thing.has_method("step"):
+\t\tthing.step(1)
+\tthing.pick(2)
+\treturn 1
+\tthing = null
 ''',
 }
 SCENES: dict[str, str] = {
