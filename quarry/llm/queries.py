@@ -89,8 +89,3 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_jaccard_join": op1_jaccard_join, "op2_hamming_topk": op2_hamming_topk, "op3_byte_bpe": op3_byte_bpe, "op4_packing": op4_packing, "op5_toxicity": op5_toxicity, "op6_quality_rules": op6_quality_rules, "op7_license_scan": op7_license_scan, "op8_warc": op8_warc, "op9_html_text": op9_html_text, "op10_line_dedup": op10_line_dedup}
 
-
-def oracle_sql() -> dict[str, str]:
-    from quarry.llm.oracle import ORACLES
-
-    return ORACLES

@@ -1,44 +1,12 @@
-"""Shared-folder staging: write a DataFrame once, read it back, lineage cut.
-
-Staged tables live under the folder the cluster names in
-``spark.checkpoint.dir`` (every executor and the driver see it).  When that
-setting is absent (tests, a laptop) a folder is chosen and recorded in the
-session, so all later calls agree on it.
-"""
+"""Staging for the corpus operators, and the size of their Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL_DEFAULT: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; the setting is only filled in when unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _LOCAL_DEFAULT:
-        _LOCAL_DEFAULT.append("file://" + tempfile.mkdtemp(prefix="quarry-shared-"))
-    return _LOCAL_DEFAULT[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-
+from pyspark.sql import SparkSession
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return a reader of it.
+from quarry.staging import shared_dir, staged
 
-    A lost executor then costs a reread of files, never a recomputation of the
-    work before; the files outlive every executor.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["drop_staged", "shared_dir", "small_arrow_batches", "staged"]
 
 
 def drop_staged(spark: SparkSession) -> None:
