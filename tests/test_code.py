@@ -129,3 +129,16 @@ def test_similar_blocks(spark):
     rows = spark.createDataFrame([(1, words), (2, [*words[:-1], "that"]), (3, "nothing like it in any way at all".split()), (4, ["one"])], "id long, t array<string>")
     assert [(r.a, r.b, round(r.score, 3)) for r in duplicates.similar_blocks(rows, "id", "t").collect()] == [(1, 2, 0.938)]
     assert duplicates.lcs_length(list("abcde"), list("xbxd")) == 2
+
+
+def test_lcs_is_the_table_s():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 20))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert duplicates.lcs_length(a, b) == table[-1][-1]
