@@ -101,5 +101,5 @@ ORACLES: dict[str, str] = {
         i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM m)
         SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS "end", count(*) AS n FROM i GROUP BY user_id, run HAVING count(*) >= 2""",
     "stream_tumbling": "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
-    "incremental_recompute": f"""WITH RECURSIVE {_GEO}, r AS (SELECT n_nationkey::BIGINT + 500000000 AS node FROM nation WHERE n_nationkey % 5 = 0 UNION SELECT e.dst FROM r JOIN e ON r.node = e.src) SELECT node FROM r""",
+    "incremental_recompute": f"""WITH RECURSIVE {_GEO}, r AS (SELECT n_nationkey::BIGINT + 500000000 AS node FROM nation WHERE n_regionkey = 0 UNION SELECT e.dst FROM r JOIN e ON r.node = e.src) SELECT node FROM r""",
 }
