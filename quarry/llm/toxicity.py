@@ -5,7 +5,7 @@ one vector) next to the sum of learned vectors of its hashed byte n-grams.  The
 network reads windows of ``WINDOW`` words that overlap by ``WINDOW - STRIDE``;
 attention pools the states of both directions into one logit per window, and a
 small logistic layer turns the windows of a text into its score.  All of it is
-trained in numpy on the driver, on a bounded, hash-ordered sample of labelled
+trained in numpy in one task, on a bounded, hash-ordered sample of labelled
 rows (``max_positive``, ``max_negative``); labels of held-out rows are never
 read.  Scoring covers all windows of whole texts and is one Arrow pass without
 a shuffle.
@@ -20,6 +20,7 @@ that column names cannot clash.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,8 +63,18 @@ def _tokens(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return data, starts, ends, np.searchsorted(starts, bounds)
 
 
-def _gram_lists(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """CSR lists of hashed byte n-grams of the words, with marks at both word ends."""
+def _gram_lists(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 20000) -> tuple[np.ndarray, np.ndarray]:
+    """CSR lists of hashed byte n-grams of the words, made in blocks and kept in two bytes each."""
+    first, grams = [np.zeros(1, np.int64)], [np.zeros(0, np.uint16)]
+    for at in range(0, len(starts), block):
+        own, some = _gram_block(data, starts[at : at + block], ends[at : at + block])
+        first.append(own[1:] + first[-1][-1])
+        grams.append(some)
+    return np.concatenate(first), np.concatenate(grams)
+
+
+def _gram_block(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of one block of words, with marks at both word ends."""
     lengths = ends - starts
     framed = lengths + 2
     base = np.cumsum(framed) - framed
@@ -83,7 +94,7 @@ def _gram_lists(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
                 code = (code ^ text[at + k]) * np.uint32(0x01000193)
             code ^= code >> np.uint32(15)
         owners.append(word[at])
-        grams.append((code % np.uint32(GRAMS)).astype(np.int64))
+        grams.append((code % np.uint32(GRAMS)).astype(np.uint16))
     owner, gram = np.concatenate(owners), np.concatenate(grams)
     order = np.argsort(owner, kind="stable")
     return np.searchsorted(owner[order], np.arange(len(starts) + 1)), gram[order]
@@ -143,6 +154,28 @@ class Network:
         scale = (1 / np.sqrt(np.maximum(np.diff(first), 1))).astype(_F)[:, None]
         return np.concatenate([self.params["word"][ids], _segment_sums(self.params["gram"][grams], first) * scale], axis=1), scale
 
+    def chunked_logits(self, ids: np.ndarray, gram_first: np.ndarray, grams: np.ndarray, words: np.ndarray, first: np.ndarray, chosen: np.ndarray, chunk: int = 200) -> np.ndarray:
+        """The window logits of the chosen texts, ``chunk`` texts at a time."""
+        out = [np.zeros(0, _F)]
+        for at in range(0, len(chosen), chunk):
+            spans = [words[first[t] : first[t + 1]] for t in chosen[at : at + chunk]]
+            begin, end, _ = _window_index(np.cumsum([0, *map(len, spans)]))
+            own, local = np.unique(np.concatenate(spans), return_inverse=True)
+            counts = np.diff(gram_first)[own]
+            heads = np.concatenate(([0], np.cumsum(counts)))
+            some = grams[np.arange(heads[-1]) - np.repeat(heads[:-1], counts) + np.repeat(gram_first[own], counts)]
+            out.append(self.window_logits(self.gates(ids[own], heads, some), local, begin, end))
+        return np.concatenate(out)
+
+    def gates(self, ids: np.ndarray, first: np.ndarray, grams: np.ndarray, block: int = 20000) -> dict[str, np.ndarray]:
+        """``project`` of the inputs of all words, in blocks that bound what their n-grams take."""
+        parts = []
+        for at in range(0, max(1, len(ids)), block):
+            own = first[at : at + block + 1]
+            x, _ = self.inputs(ids[at : at + block], own - own[0], grams[own[0] : own[-1]])
+            parts.append(self.project(x))
+        return {w: np.concatenate([p[w][:, :-1] for p in parts] + [np.zeros((3 * HIDDEN, 1), _F)], axis=1) for w in "fb"}
+
     def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """Input parts of all gates of all words (gates x words), with a zero column for padding."""
         return {w: np.concatenate([self.params[f"x{w}"] @ x.T + self.params[f"b{w}"][:, None], np.zeros((3 * HIDDEN, 1), _F)], axis=1) for w in "fb"}
@@ -244,9 +277,9 @@ class Network:
             raw, bounds = raw_all[bounds_all[at] : bounds_all[to]], bounds_all[at : to + 1] - bounds_all[at]
             data, starts, ends, first = _tokens(raw, bounds)
             hashes, which, words = np.unique(word_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
-            x, _ = self.inputs(self.word_ids(hashes), *_gram_lists(data, starts[which], ends[which]))
+            gates = self.gates(self.word_ids(hashes), *_gram_lists(data, starts[which], ends[which]))
             begin, end, firsts = _window_index(first)
-            out[at:to] = self.text_scores(self.window_logits(self.project(x), words, begin, end), firsts)
+            out[at:to] = self.text_scores(self.window_logits(gates, words, begin, end), firsts)
         return out
 
 
@@ -279,6 +312,14 @@ def _draw_odds(firsts: np.ndarray, window_text: np.ndarray, pool: np.ndarray) ->
     return odds / odds[-1]
 
 
+def _log_odds(feature: np.ndarray, text_of: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+    """Smoothed log odds of a feature's texts being toxic against the share of toxic texts."""
+    seen = np.unique(feature * np.int64(len(labels)) + text_of)
+    toxic = labels[seen % len(labels)]
+    p, n = (np.bincount(seen[toxic == k] // len(labels), minlength=size) for k in (1, 0))
+    return (np.log((p + 0.5) / (labels.sum() + 1)) - np.log((n + 0.5) / ((1 - labels).sum() + 1))).astype(_F)
+
+
 def train(texts: list[str], labels: np.ndarray, steps: int = 700, batch: int = 256, rate: float = 0.01, decay: float = 0.2, seed: int = 11) -> Network:
     """Fit the network on three quarters of the texts and its text layer on the rest (on all, if that is small)."""
     labels = np.asarray(labels, np.int64)
@@ -291,10 +332,13 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 700, batch: int = 2
     gram_first, grams = _gram_lists(data, starts[which], ends[which])
     text_of = np.repeat(np.arange(len(texts)), np.diff(first))
     pairs = np.unique(words * np.int64(len(texts)) + text_of)
+    del text_of
     spread = np.bincount(pairs // len(texts), minlength=len(hashes))
     common = np.argsort(-spread, kind="stable")[:VOCABULARY]
     net = Network.fresh(np.sort(hashes[common[spread[common] >= 5]]), seed)
     ids = net.word_ids(hashes)
+    net.params["word"][:, 0] = _F(0.2) * _log_odds(ids[pairs // len(texts)], pairs % len(texts), labels, len(net.vocabulary) + 1)
+    net.params["word"][0, 0] = 0
     begin, end, firsts = _window_index(first)
     window_text = np.repeat(np.arange(len(texts)), np.diff(firsts))
     held = rng.random(len(texts)) < 0.25
@@ -306,8 +350,9 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 700, batch: int = 2
     for step in range(1, steps + 1):
         if step in (steps // 3, 2 * steps // 3):
             # Of a toxic text only some windows are; from here on those count that the network finds most so.
-            gates = net.project(net.inputs(ids, gram_first, grams)[0])
-            found = net.window_logits(gates, words, begin, end)
+            toxic = np.flatnonzero(labels == 1)
+            found = np.full(len(begin), -np.inf, _F)
+            found[labels[window_text] == 1] = net.chunked_logits(ids, gram_first, grams, words, first, toxic)
             top = np.maximum.reduceat(found, firsts[:-1])[window_text]
             sure = pools[1][found[pools[1]] >= top[pools[1]] - 1.5]
             sums[1], pools[1] = _draw_odds(firsts, window_text, sure), sure
@@ -341,8 +386,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 700, batch: int = 2
             v *= _F(0.999)
             v += _F(0.001) * g * g
             net.params[name] -= _F(now) * (m / _F(1 - 0.9**step)) / (np.sqrt(v / _F(1 - 0.999**step)) + _F(1e-7))
-    gates = net.project(net.inputs(ids, gram_first, grams)[0])
-    features = _text_features(net.window_logits(gates, words, begin, end), firsts)
+    features = _text_features(net.chunked_logits(ids, gram_first, grams, words, first, np.arange(len(texts))), firsts)
     weigh = held if 4 <= labels[held].sum() <= held.sum() - 4 else np.ones(len(texts), bool)
     net.text_weights = _fit_logistic(features[weigh], labels[weigh])
     return net
@@ -353,15 +397,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", max_positive: int = 1500, max_negative: int = 3000, steps: int = 700) -> Network:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", max_positive: int = 1200, max_negative: int = 2400, steps: int = 700) -> Network:
     """Train on at most ``max_positive`` + ``max_negative`` rows that are not held out, by hash of the id."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ranked = lambda value, n: usable.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = ranked(1, max_positive).unionByName(ranked(0, max_negative))
     # The two limits bound the broadcast side.
-    rows = docs.select("doc_id", docs[text].alias("_text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("_text").alias("_text")).collect()
-    rows = sorted(rows, key=lambda r: r.doc_id)
-    return train([r["_text"] or "" for r in rows], np.array([r.toxic for r in rows], np.int64), steps=steps)
+    rows = docs.select("doc_id", docs[text].alias("_text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("_text").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["doc_id"])
+        net = train([r["_text"] or "" for r in own], np.array([r["toxic"] for r in own], np.int64), steps=steps)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    # One task: its rows are bounded by the two limits, and a worker's numpy uses one thread.
+    found = rows.repartition(1).mapInArrow(run, "net binary").collect()
+    return pickle.loads(found[0].net) if found else train([], np.zeros(0, np.int64))
 
 
 def score_toxicity(docs: DataFrame, net: Network, text: str = "text", keep: list[str] | None = None) -> DataFrame:
