@@ -2,13 +2,14 @@
 
 Markup is stripped into lines, one per block element.  What can't be article
 text (scripts, styles, menus, page headers and footers, asides, forms, adverts,
-notices, comments; by element, role or class word) keeps its lines but none of
-its text, so it separates.  Over the lines' text lengths a sliding window is
-summed; text surges where the sum leaves zero at a line with text, and dives
-where it is back at zero.  Inside ``article`` or ``main`` every stretch between
-a surge and a dive is kept; without these, the largest stretch is, with those
-of at least a fifth of its length, and lines that are mostly links count as
-empty.
+notices, comments, also in ``article``; by element, role or class word) keeps
+its lines but none of its text, so it separates.  Over the lines' text lengths
+a sliding window is summed; text surges where the sum leaves zero at a line
+with text, and dives where it is back at zero.  A line in ``article`` or
+``main`` weighs more; outside these, lines that are mostly links count as
+empty.  Stretches whose window sum never reaches ``SURGE`` (or the page's
+highest sum, if that is less) are no article's; from the first surge of the
+others to their last dive, all text is kept.
 
 Defined results: null or empty html gives the empty text; character references
 are decoded once; white space is what ``str.split`` takes for it; an element
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 from quarry.llm.staging import small_arrow_batches
 
 WINDOW = 3
+SURGE, WEIGHT = 40, 4
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "math", "object", "select", "button", "canvas", "audio", "video"}
@@ -37,6 +39,7 @@ _APART = {"nav", "footer", "aside", "form", "dialog", "menu"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
 _MAIN = {"article", "main"}
 _NEVER = {"html", "body", "article", "main", "h1"}
+_COMMENT = {"comment", "comments", "comment-body", "comment-content", "comment_body", "comment_content", "reader-comment", "user-comment"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar"}
 _WORDS = set(
@@ -48,6 +51,8 @@ _WORDS = set(
 def _apart(name: str, attributes: str, in_main: bool) -> bool:
     if name in _APART or (name == "header" and not in_main):
         return True
+    if name == "article":
+        return any(key.lower() == "class" and not _COMMENT.isdisjoint("".join(values).lower().split()) for key, *values in _ATTRIBUTE.findall(attributes))
     if name in _NEVER or not attributes.strip():
         return False
     for key, *values in _ATTRIBUTE.findall(attributes):
@@ -108,13 +113,13 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if name not in _INLINE:
             close()
-        if name in _MAIN:
-            inside = max(0, inside + (-1 if closing else 1))
-        elif name == "a":
-            links = 0 if closing else 1
         if not closing and name not in _VOID and not attributes.rstrip().endswith("/") and _apart(name, attributes, inside > 0) and low.find(f"</{name}", at) >= 0:
             close()
             hidden, depth = name, 1
+        elif name in _MAIN:
+            inside = max(0, inside + (-1 if closing else 1))
+        elif name == "a":
+            links = 0 if closing else 1
     close()
     return lines
 
@@ -135,15 +140,26 @@ def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]
     return out
 
 
+def article(lengths: list[int], window: int = WINDOW) -> tuple[int, int]:
+    """Lines from the first surge to the last dive."""
+    found = stretches(lengths, window)
+    peaks = [max(sum(lengths[k : k + window]) for k in range(a, b)) for a, b in found]
+    least = min(SURGE, max(peaks, default=0))
+    high = [r for r, peak in zip(found, peaks) if peak >= least]
+    return (high[0][0], high[-1][1]) if high else (0, 0)
+
+
+def weight(text: str, linked: int, inside: bool) -> int:
+    """A line's length for the windows: any text in article or main surges, mostly links elsewhere count as none."""
+    if inside and text:
+        return max(SURGE, WEIGHT * len(text))
+    return 0 if 2 * linked > len(text) else len(text)
+
+
 def main_text(page: str | None) -> str:
     lines = page_lines(page or "")
-    if any(inside and text for text, _, inside in lines):
-        kept = stretches([len(text) if inside else 0 for text, _, inside in lines])
-        return " ".join(text for a, b in kept for text, _, inside in lines[a:b] if text and inside)
-    lengths = [0 if 2 * linked > len(text) else len(text) for text, linked, _ in lines]
-    found = stretches(lengths)
-    most = max((sum(lengths[a:b]) for a, b in found), default=0)
-    return " ".join(lines[k][0] for a, b in found if 5 * sum(lengths[a:b]) >= most for k in range(a, b) if lengths[k])
+    a, b = article([weight(*line) for line in lines])
+    return " ".join(text for text, *_ in lines[a:b] if text)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

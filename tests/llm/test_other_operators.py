@@ -93,6 +93,19 @@ def test_html_main_text():
     assert html_text.stretches([0, 5, 0, 7, 0, 0, 0, 3], window=3) == [(1, 4), (7, 8)]
 
 
+def test_html_windows_decide_on_pages_with_articles_too():
+    f = html_text.main_text
+    story = "<p>" + "long story " * 20 + "</p>"
+    want = ("long story " * 20).strip()
+    links = '<div><a href="/a">one</a></div><div><a href="/b">two</a></div><div><a href="/c">three</a></div>'
+    assert f(f'<div class="post">{story}</div><article class="card"><p>Teaser</p></article>') == f"{want} Teaser"
+    assert f(f'<div class="post">{story}</div><article class="comment"><p>{"rude words " * 90}</p></article>') == want
+    assert f(f'<article class="comment"><p>rude</p></article><article>{story}</article>{links}<p>2026</p>') == want
+    assert f(f"<p>Shop</p>{links}<article>{story}</article>{links}<p>2026</p>") == want
+    assert f(f"<article>{story}{links}<p>End</p></article>") == f"{want} one two three End"
+    assert html_text.article([5, 0, 0, 0, 50, 0, 0, 0, 5, 50, 0, 0, 0, 9]) == (4, 10) and html_text.article([5]) == (0, 1) and html_text.article([]) == (0, 0)
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", None, "t"), (1, "u", "<p>a</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.doc.text, r.text) for r in html_text.extract_text(df).collect()) == [("t", ""), ("t", "a")]
