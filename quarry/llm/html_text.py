@@ -2,8 +2,10 @@
 
 Markup is stripped into lines, one per block element.  What can't be article
 text (scripts, styles, menus, page headers and footers, asides, forms, adverts,
-notices, comments, also in ``article``; by element, role or class word) keeps
-its lines but none of its text, so it separates.  Over the lines' text lengths
+notices, comments, also in ``article``; by element, role or whole class token)
+keeps its lines but none of its text, so it separates; what holds ``main``, the
+largest ``article`` or, unless its class is sure, most of the largest stretch is
+never hidden, nor is a heading for its id.  Over the lines' text lengths
 a sliding window is summed; text surges where the sum leaves zero at a line
 with text, and dives where it is back at zero.  A line in ``article`` or
 ``main`` weighs more; outside these, lines that are mostly links count as
@@ -42,86 +44,147 @@ _NEVER = {"html", "body", "article", "main", "h1"}
 _COMMENT = {"comment", "comments", "comment-body", "comment-content", "comment_body", "comment_content", "reader-comment", "user-comment"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar"}
-_WORDS = set(
-    "ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner cookie cookies consent gdpr notice popup modal overlay sidebar menu nav navbar navigation "
-    "breadcrumb breadcrumbs footer header masthead comment comments disqus share sharing social related recommended newsletter subscribe subscription signup widget pagination pager toolbar".split()
+_SURE = set("ad ads advert adverts advertisement advertising sponsored sponsor cookie cookies consent gdpr nav navbar navigation breadcrumb breadcrumbs comment comments disqus disqus_thread newsletter pagination pager".split())
+_WORDS = _SURE | set("promo promotion banner notice popup modal overlay sidebar menu footer header masthead share sharing social related recommended subscribe subscription signup widget toolbar".split())
+#: Class tokens of two parts that name such parts of a page; other compounds of the words say where a part is, not what it is.
+_COMPOUND = re.compile(
+    r"(?P<sure>(?:ad|ads|advert|advertisement|sponsored?)[-_]+(?:banner|block|box|container|inner|label|leaderboard|slot|space|unit|wrap|wrapper|top|bottom|left|right|\d+)|(?:google|banner|top|bottom|side|sidebar|inline|text|display)[-_]+(?:ads?|advert|advertisement)"
+    r"|(?:cookie|cookies|consent|gdpr)[-_]+(?:banner|notice|bar|consent|popup|modal|overlay|message)|(?:comment|comments)[-_]+(?:list|area|section|form|thread|respond|wrapper|box|body|content)|(?:reader|user)[-_]+comments?"
+    r"|(?:site|page|main|top|primary|secondary|footer|mobile)[-_]+(?:nav|navbar|navigation|breadcrumbs?)|(?:nav|navbar)[-_]+(?:bar|menu|links|list|items?)|breadcrumbs?[-_]+(?:list|nav|trail|items?)|pagination[-_]+(?:links|nav)|newsletter[-_]+(?:form|box|signup|banner|popup|modal))"
+    r"|(?:site|page|main|global)[-_]+(?:footer|header|masthead)|(?:site|page|left|right|primary|secondary|main|top|mobile)[-_]+(?:sidebar|menu|banner|toolbar)|sidebar[-_]+(?:left|right|primary|secondary|widget)|(?:footer|header)[-_]+(?:nav|links|menu|widgets)"
+    r"|(?:share|sharing|social)[-_]+(?:buttons|bar|links|icons|media|share|tools)|(?:related|recommended)[-_]+(?:posts|articles|links|stories|content|items|news)|(?:subscribe|subscription|signup)[-_]+(?:form|box|banner|popup|modal)|menu[-_]+(?:bar|list|items?)|(?:modal|popup)[-_]+(?:dialog|overlay|backdrop)"
 )
+_HEADS = {"header", "masthead", "page-header", "main-header", "page_header", "main_header"}
+_NO_CLASS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def _apart(name: str, attributes: str, in_main: bool) -> bool:
+def _word(token: str) -> int:
+    """2 for a word that can't name what wraps the article, 1 for one that can, 0 for none."""
+    if token in _WORDS:
+        return 2 if token in _SURE else 1
+    m = _COMPOUND.fullmatch(token)
+    return 0 if m is None else 2 if m["sure"] else 1
+
+
+def _apart(name: str, attributes: str, in_main: bool) -> int:
+    """2: no article text by what it is; 1: only if it doesn't hold the largest stretch; 0: text."""
     if name in _APART or (name == "header" and not in_main):
-        return True
+        return 1 if name == "form" else 2
+    found = [(key.lower(), next((v for v in values if v), "").lower()) for key, *values in _ATTRIBUTE.findall(attributes)] if attributes.strip() else []
     if name == "article":
-        return any(key.lower() == "class" and not _COMMENT.isdisjoint("".join(values).lower().split()) for key, *values in _ATTRIBUTE.findall(attributes))
-    if name in _NEVER or not attributes.strip():
-        return False
-    for key, *values in _ATTRIBUTE.findall(attributes):
-        value = next((v for v in values if v), "").lower()
-        key = key.lower()
+        return 2 * any(key == "class" and not _COMMENT.isdisjoint(value.split()) for key, value in found)
+    if name in _NEVER:
+        return 0
+    sure, slug = 0, name in _NO_CLASS or (in_main and (name == "section" or any(key == "class" and "section" in value.split() for key, value in found)))
+    for key, value in found:
         if key == "hidden" or (key == "aria-hidden" and value == "true" and name not in _INLINE) or (key == "role" and value in _ROLES):
-            return True
-        if key in ("class", "id") and not _WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            sure = max(sure, 1)
+        elif key == "class" or (key == "id" and not slug):
+            sure = max([sure, *(_word(t) for t in value.split() if not (in_main and t in _HEADS))])
+    return sure
+
+
+class _Page:
+    """A page's tags (start, end, name, closing, attributes), where each element ends, and what no hidden element may hold."""
+
+    def __init__(self, page: str) -> None:
+        self.text, self.tags, self.ends = page, [], {}
+        low = page.lower()
+        if len(low) != len(page):  # a letter whose lower case is longer; offsets must agree
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
+        at, opened = 0, {}
+        while at < len(page) and (m := _TAG.search(page, at)):
+            start, at = m.start(), m.end()
+            name = (m[2] or m[5] or "").lower()
+            closing, attributes, k = bool(m[1] or m[4]), m[3] or m[6] or "", len(self.tags)
+            if name in _RAW and not closing and (end := low.find(f"</{name}", at)) >= 0:
+                at = end
+            self.tags.append((start, at, name, closing, attributes))
+            stack = opened.setdefault(name, [])
+            if closing and stack:
+                self.ends[stack.pop()] = k
+            elif not closing and name and name not in _VOID and name not in _RAW and not attributes.rstrip().endswith("/"):
+                if name == "p" and stack:  # a paragraph ends where the next begins
+                    self.ends[stack.pop()] = k - 1
+                stack.append(k)
+        self.heads = [k for k, t in enumerate(self.tags) if t[2] == "h1" and not t[3]]
+        own = [k for k in self.ends if self.tags[k][2] == "article" and not self.comment(k)]
+        largest = max(own, key=lambda k: (self.tags[self.ends[k]][0] - self.tags[k][1], -k), default=None)
+        self.core = [k for k in self.ends if self.tags[k][2] == "main" or k == largest]
+
+    def holds(self, k: int, inner: list[int]) -> bool:
+        return any(k < j <= self.ends[k] for j in inner)
+
+    def comment(self, k: int) -> bool:
+        """A reader's comment: an article by class, without a title of its own."""
+        return bool(_apart("article", self.tags[k][4], True)) and not self.holds(k, self.heads)
+
+    def hides(self, k: int, in_main: bool) -> int:
+        """As _apart, but 0 for what is never closed or holds the article."""
+        name, attributes = self.tags[k][2], self.tags[k][4]
+        if k not in self.ends or not (sure := _apart(name, attributes, in_main)):
+            return 0
+        if name == "article":
+            return 2 * (self.comment(k) and not self.holds(k, self.core))
+        return 0 if self.holds(k, self.core) or (in_main and name not in _APART and self.holds(k, self.heads)) else sure
+
+    def lines(self, shown: set[int] | None = None) -> tuple[list[tuple[str, int, bool]], list[int], list[int]]:
+        """Lines, the tag each ends at, and the doubtful elements; these are all shown, or else the ``shown`` ones."""
+        lines: list[tuple[str, int, bool]] = []
+        ends: list[int] = []
+        doubtful: list[int] = []
+        parts: list[str] = []
+        linked, inside, links, k, at = 0, 0, 0, 0, 0
+
+        def close() -> None:
+            nonlocal parts, linked
+            lines.append((" ".join(_html.unescape("".join(parts)).split()), linked, inside > 0))
+            ends.append(k)
+            parts, linked = [], 0
+
+        def say(text: str) -> None:
+            nonlocal linked
+            if text:
+                parts.append(text)
+                if links:
+                    linked += len(text.strip())
+
+        while k < len(self.tags):
+            start, end, name, closing, _ = self.tags[k]
+            say(self.text[at:start])
+            at = end
+            if name and name not in _RAW:
+                if name not in _INLINE:
+                    close()
+                sure = 0 if closing or name in _VOID else self.hides(k, inside > 0)
+                if sure == 1:
+                    doubtful.append(k)
+                    sure = 0 if shown is None or k in shown else 2
+                if sure:
+                    close()
+                    k = self.ends[k]
+                    at = self.tags[k][1]
+                    close()
+                elif name in _MAIN:
+                    inside = max(0, inside + (-1 if closing else 1))
+                elif name == "a":
+                    links = 0 if closing else 1
+            k += 1
+        say(self.text[at:])
+        close()
+        return lines, ends, doubtful
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters of link text, inside article or main) per line; stripped parts give empty lines."""
-    lines: list[tuple[str, int, bool]] = []
-    parts: list[str] = []
-    linked = 0
-    low = page.lower()
-    if len(low) != len(page):  # a letter whose lower case is longer; offsets must agree
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
-    inside, links, at, hidden, depth = 0, 0, 0, "", 0
-
-    def close() -> None:
-        nonlocal parts, linked
-        lines.append((" ".join(_html.unescape("".join(parts)).split()), linked, inside > 0))
-        parts, linked = [], 0
-
-    def say(text: str) -> None:
-        nonlocal linked
-        if text and not hidden:
-            parts.append(text)
-            if links:
-                linked += len(text.strip())
-
-    while at < len(page):
-        m = _TAG.search(page, at)
-        if m is None:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if hidden:
-            if name == hidden and not attributes.rstrip().endswith("/"):
-                depth += -1 if closing else 1
-                if not depth:
-                    hidden = ""
-                    close()
-            elif name in _RAW and not closing and (end := low.find(f"</{name}", at)) >= 0:
-                at = end
-            continue
-        if name in _RAW:
-            if not closing and (end := low.find(f"</{name}", at)) >= 0:
-                at = end
-            continue
-        if name not in _INLINE:
-            close()
-        if not closing and name not in _VOID and not attributes.rstrip().endswith("/") and _apart(name, attributes, inside > 0) and low.find(f"</{name}", at) >= 0:
-            close()
-            hidden, depth = name, 1
-        elif name in _MAIN:
-            inside = max(0, inside + (-1 if closing else 1))
-        elif name == "a":
-            links = 0 if closing else 1
-    close()
-    return lines
+    parsed = _Page(page)
+    lines, ends, doubtful = parsed.lines()
+    if not doubtful:
+        return lines
+    lengths = [weight(*line) for line in lines]
+    a, b = max(stretches(lengths), key=lambda r: sum(lengths[r[0] : r[1]]), default=(0, 0))
+    shown = {k for k in doubtful if 2 * sum(lengths[i] for i in range(a, b) if k < ends[i] <= parsed.ends[k]) > sum(lengths[a:b])}
+    return parsed.lines(shown)[0]
 
 
 def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:

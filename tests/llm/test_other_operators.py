@@ -106,6 +106,19 @@ def test_html_windows_decide_on_pages_with_articles_too():
     assert html_text.article([5, 0, 0, 0, 50, 0, 0, 0, 5, 50, 0, 0, 0, 9]) == (4, 10) and html_text.article([5]) == (0, 1) and html_text.article([]) == (0, 0)
 
 
+def test_html_wrappers_of_the_article_stay():
+    f = html_text.main_text
+    story = "long story " * 20
+    want = story.strip()
+    for wrapper in ('div class="content-sidebar-wrap"', 'div class="has-sidebar"', 'div class="sidebar"', 'form', 'div id="menu"', 'div class="widget" role="dialog"'):
+        for inner in ("main", "article", "div"):
+            assert f(f'<{wrapper}><{inner}><p>{story}</p></{inner}></{wrapper.split()[0]}><div class="ad">Buy</div>') == want, (wrapper, inner)
+    assert f(f'<article><div class="article-header"><h1>Title</h1></div><section id="cookies"><h2 id="related-work">Work</h2><p class="notice-period">Month</p></section><div class="header"><h1>x</h1></div><p>{story}</p></article>') == f"Title Work Month x {want}"
+    assert f(f'<article class="comment"><h1>Own</h1><p>{story}</p></article>') == f"Own {want}"
+    hidden = '<div class="ad-banner">A</div><div class="x sidebar">B</div><div class="site-footer">C</div><ul class="comment-list"><li>D</li></ul><section class="related-posts"><article>E</article></section><div class="cookie-banner">F</div><p class="ad">G<p>'
+    assert f(f"<article><p>{story}</p></article>{hidden}") == want
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", None, "t"), (1, "u", "<p>a</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.doc.text, r.text) for r in html_text.extract_text(df).collect()) == [("t", ""), ("t", "a")]
