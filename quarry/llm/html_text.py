@@ -3,7 +3,7 @@
 Markup is stripped into lines, one per block element.  What can't be article
 text (scripts, styles, menus, page headers and footers, asides, forms, adverts,
 notices, comments, also in ``article``; by element, role or whole class token)
-keeps its lines but none of its text, so it separates; what holds ``main``, the
+leaves one empty line, so it separates; block tags in a row don't.  What holds ``main``, the
 largest ``article`` or, unless its class is sure, most of the largest stretch is
 never hidden, nor is a heading for its id.  Over the lines' text lengths
 a sliding window is summed; text surges where the sum leaves zero at a line
@@ -136,10 +136,12 @@ class _Page:
         parts: list[str] = []
         linked, inside, links, k, at = 0, 0, 0, 0, 0
 
-        def close() -> None:
+        def close(apart: bool = False) -> None:
             nonlocal parts, linked
-            lines.append((" ".join(_html.unescape("".join(parts)).split()), linked, inside > 0))
-            ends.append(k)
+            text = " ".join(_html.unescape("".join(parts)).split())
+            if text or apart:  # block tags in a row make no line of their own
+                lines.append((text, linked, inside > 0))
+                ends.append(k)
             parts, linked = [], 0
 
         def say(text: str) -> None:
@@ -162,9 +164,9 @@ class _Page:
                     sure = 0 if shown is None or k in shown else 2
                 if sure:
                     close()
+                    close(apart=True)
                     k = self.ends[k]
                     at = self.tags[k][1]
-                    close()
                 elif name in _MAIN:
                     inside = max(0, inside + (-1 if closing else 1))
                 elif name == "a":
@@ -176,7 +178,7 @@ class _Page:
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of link text, inside article or main) per line; stripped parts give empty lines."""
+    """(text, characters of link text, inside article or main) per line; each stripped part gives one empty line."""
     parsed = _Page(page)
     lines, ends, doubtful = parsed.lines()
     if not doubtful:

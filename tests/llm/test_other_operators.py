@@ -119,6 +119,17 @@ def test_html_wrappers_of_the_article_stay():
     assert f(f"<article><p>{story}</p></article>{hidden}") == want
 
 
+def test_html_short_parts_of_the_article_stay():
+    f = html_text.main_text
+    story = "<p>" + "long story " * 200 + "</p>"
+    want = ("long story " * 200).strip()
+    lead, end = "<div><div><p>Lead.</p></div></div>", "<div><div><p>End.</p></div></div>"
+    assert f(f"<div>{lead}<div><div>{story}</div></div>{end}</div>") == f"Lead. {want} End."
+    assert f(f'{lead}<div class="ad"><p>Buy</p><p>it</p></div>{story}<div class="ad">now</div>{end}') == f"Lead. {want} End."
+    links = '<div><a href="/a">one</a></div><div><a href="/b">two</a></div><div><a href="/c">three</a></div>'
+    assert f(f"<p>Shop</p>{links}{lead}{story}{end}{links}<p>2026</p>") == f"Lead. {want} End."
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", None, "t"), (1, "u", "<p>a</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.doc.text, r.text) for r in html_text.extract_text(df).collect()) == [("t", ""), ("t", "a")]
