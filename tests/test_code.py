@@ -131,6 +131,28 @@ def test_similar_blocks(spark):
     assert duplicates.lcs_length(list("abcde"), list("xbxd")) == 2
 
 
+def test_similar_blocks_are_those_of_brute_force(spark, tables):
+    import random
+    import re
+
+    rng = random.Random(4)
+    lists = [rng.choices("abcdefgh", k=rng.randint(0, 6)) for _ in range(60)]
+    for _ in range(12):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(20, 80))]
+        lists += [base, [f"x{k}" if k % 5 == 4 else w for k, w in enumerate(base)], [w for k, w in enumerate(base) if k % 6], [v for k, w in enumerate(base) for v in ([w, "and"] if k % 4 == 3 else [w])]]
+    lists += [["a"] * 30, ["a"] * 28, list("ab"), list("axb")]
+    lists += [re.split(r"\s+", r.text.lower().strip()) for r in spark.read.parquet(f"{tables}/documents.parquet").collect()]
+    rows = list(enumerate(lists))
+    want = set()
+    for i, a in rows:
+        for j, b in rows[i + 1 :]:
+            score = 2 * duplicates.lcs_length(a, b) / (len(a) + len(b)) if a or b else 1.0
+            if 2 * min(len(a), len(b)) >= 0.79 * (len(a) + len(b)) and score >= 0.8:
+                want.add((i, j, round(score, 6)))
+    found = duplicates.similar_blocks(spark.createDataFrame(rows, "id long, t array<string>"), "id", "t").collect()
+    assert len(found) == len(want) > 50 and {(r.a, r.b, round(r.score, 6)) for r in found} == want
+
+
 def test_lcs_is_the_table_s():
     import random
 
