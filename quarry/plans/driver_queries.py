@@ -80,9 +80,9 @@ def dup_baseline_diff(spark, sf):
 
 @_query
 def dup_similar(spark, sf):
-    turns = _t(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("at"), F.split(F.lower(F.trim("text")), r"\s+").alias("tokens"))
-    blocks = turns.groupBy("tokens").agg(F.min("at").alias("at")).select(F.concat_ws(":", "at.conv_id", "at.turn").alias("block"), "tokens")
-    return duplicates.similar_blocks(blocks, "block", "tokens").select("a", "b", F.round("score", 6).alias("score"))
+    docs = _t(spark, sf, "documents").select("doc_id", F.split(F.lower(F.trim("text")), r"\s+").alias("tokens"))
+    blocks = docs.groupBy("tokens").agg(F.min("doc_id").alias("doc_id"))
+    return duplicates.similar_blocks(blocks, "doc_id", "tokens").select("a", "b", F.round("score", 6).alias("score"))
 
 
 @_query

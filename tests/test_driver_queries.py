@@ -38,6 +38,22 @@ def test_matches_sql(spark, duck, tables, name):
     assert got == sorted((plain(r) for r in want.select(", ".join(f'"{c}"' for c in columns)).fetchall()), key=repr)
 
 
+def test_dup_similar_is_brute_force_over_documents(spark, tables):
+    import re
+
+    from quarry.operators.duplicates import lcs_length
+
+    blocks = {}
+    for r in spark.read.parquet(f"{tables}/documents.parquet").collect():
+        tokens = tuple(re.split(r"\s+", r.text.strip(" ").lower()))
+        blocks[tokens] = min(r.doc_id, blocks.get(tokens, r.doc_id))
+    rows = sorted((i, t) for t, i in blocks.items())
+    pairs = [(i, j, a, b) for k, (i, a) in enumerate(rows) for j, b in rows[k + 1 :] if 2 * min(len(a), len(b)) >= 0.79 * (len(a) + len(b))]
+    want = {(i, j, round(score, 6)) for i, j, a, b in pairs if (score := 2 * lcs_length(a, b) / (len(a) + len(b))) >= 0.8}
+    found = QUERIES["dup_similar"](spark, tables).collect()
+    assert want and len(found) == len(want) and {(r.a, r.b, r.score) for r in found} == want
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 
