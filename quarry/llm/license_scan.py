@@ -1,12 +1,13 @@
 """License scans: a trained paragraph classifier, confirmed by templates.
 
-Word 1- to 3-grams of short stretches of a paragraph (a line) feed a sparse
-softmax regression over licence families and an unknown class.  It is trained
-in numpy, per process-wide seed, on the templates below set into other words,
-cut and worn, and on sentences that only sound alike; a held-out part gives the
-temperature and the least probability that the calibrated unknown class leaves
-to a family.  A predicted family must also be confirmed: enough of one of its
-templates' 3-grams have to be in the stretch's neighbourhood.
+Word 1- to 3-grams of short stretches of a paragraph (up to a blank line; other
+line ends are white space) feed a sparse softmax regression over licence
+families and an unknown class.  It is trained in numpy, per process-wide seed,
+on the templates below set into other words, cut and worn, and on sentences
+that only sound alike; a held-out part gives the temperature and the least
+probability that the calibrated unknown class leaves to a family.  A predicted
+family must also be confirmed: enough of one of its templates' 3-grams have to
+be in the stretch's neighbourhood.
 
 A stretch without any n-gram of the vocabulary has the unknown class's score,
 so only stretches that have some are worked out; that skips no text.
@@ -54,6 +55,8 @@ _ALIKE = [
     "she was licensed to fish under the bridge", "version 2.0 of the plan was released today", "the terms of the contract are confidential", "permission to leave was granted to any person", "they work under the terms of a truce",
     "the apache people of the plains", "creative people in common rooms", "redistribution of wealth in modern states", "a licence fee is due in march", "mit researchers released a study", "use of this road is prohibited at night",
 ]
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = True
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 
@@ -178,10 +181,13 @@ def scan_texts(model: LicenseModel, column: pa.Array, confirm: float = 0.6) -> l
         out.extend(found)
         if not len(words):
             continue
-        # A paragraph ends at a line end or at the text's end; n-grams and stretches stay inside one.
-        line = np.concatenate(([0], np.cumsum(raw == 0x0A)))[starts]
-        line = line + np.repeat(np.arange(to - at), np.diff(first))
-        head = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+        # A paragraph ends at a blank line or at the text's end; n-grams and stretches stay inside one.
+        ink = np.flatnonzero(~_BLANK[raw])
+        feed = raw[ink] == 0x0A
+        ends = np.zeros(len(raw) + 1, np.int64)
+        ends[ink[1:][feed[1:] & feed[:-1]] + 1] = 1
+        part = np.cumsum(ends)[starts] + np.repeat(np.arange(to - at), np.diff(first))
+        head = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         place = np.arange(len(words)) - np.repeat(head, np.diff(np.r_[head, len(words)]))
         owner = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(words)]))
         spots, features = [], []

@@ -381,3 +381,13 @@ def test_license_scan(spark, odd_docs):
     got = {r.doc.doc_id: r.license_family for r in license_scan.license_scan(docs, model=model).collect()}
     assert got == {i: f for i, (_, f) in enumerate(cases)}
     assert license_scan.license_scan(odd_docs, model=model).count() == odd_docs.count()
+
+
+def test_wrapped_license_notices():
+    model = license_scan.train(per_family=60, rounds=200)
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    mit = "Permission is hereby granted, free of\ncharge, to any person obtaining a\ncopy of this software and associated documentation files"
+    filler = "Erated of the thand tion erly onend re stedat.\n" * 3
+    texts = [gpl, "# " + gpl.replace("\n", "\n# "), filler + mit + "\n" + filler, gpl + "\n \t\n" + mit, mit.replace("\n", "\n \r\n"), gpl[:40], gpl[40:90]]
+    found = [sorted(f) for f in license_scan.scan_texts(model, pa.array(texts))]
+    assert found == [["GPL"], ["GPL"], ["MIT"], ["GPL", "MIT"], [], [], []]
