@@ -5,8 +5,8 @@ A class's shingle hashes are sorted; two sets of Jaccard 0.8 share most of any
 stretch of their merged order, so they share two *neighbouring* hashes early
 on.  Each class is posted under its first ``KEYS`` neighbouring pairs.  Sets of
 at most ``KEYS`` + 1 shingles are posted under all of them, which is a proof
-for them: the at most 0.2 u unshared of u merged hashes leave a run of at least
-0.8 u / (0.2 u + 1) shared ones, two or more from u = 5 on.  For larger sets the
+for pairs of two such sets: the at most 0.2 u unshared of u merged hashes leave a run of at least
+0.8 u / (0.2 u + 1) shared ones, two or more from u = 5 on.  With a larger set the
 chance that 48 places in hash order hold no such pair is below 0.513 ** 48, or
 2e-14, for each linked pair, less than that of a collision of 64-bit hashes.
 
