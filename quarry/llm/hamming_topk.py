@@ -1,145 +1,113 @@
-"""Exact top-k search over binary codes by incremental multi-index hashing.
-
-A code is the signs of a vector.  It is cut into 16-bit segments and each shard
-of the rows has one table per segment.  For a block of queries the segments'
-search radius grows 0, 1, 2, ...: after radius r every row within Hamming
-distance m (r + 1) - 1 of a query (m segments) has been met, so a query is done
-once k verified rows lie within that.  A row is verified once, at its first
-segment of least distance.  When a radius has more probes than the shard has
-rows, the queries still open are verified against all of the shard's rows: the
-exact way for the rest.  Shards' results are merged by (distance, id).
-
-Rows are dealt by a hash of the row, so ids or codes that repeat spread like
-others; queries go to every shard in blocks of bounded size.
+"""Exact top-k search over binary codes by incremental multi-index hashing, in joins.
+
+A code is the signs of a vector, cut into 16-bit segments.  One index holds
+every code under each of its segments' values.  All open queries grow their
+search radius together: in a round with radii ``low`` to ``high`` the segment
+values asked for meet the values held within that distance, their rows are
+verified, and every query keeps its k nearest.  After radius r every row
+within Hamming distance m (r + 1) - 1 of a query (m segments) has been met, so
+a query closes once its k-th verified distance is at most that.  The last
+radius reaches every value, so no query needs another way.  A row is verified
+for a query once, at the first of its segments of least distance.
+
+Of rows with equal codes only the k of least id can be answers, so no more are
+indexed; queries with equal codes ask once.  The values asked and held are at
+most 65,536 a segment, whatever the number of rows, so flips are made for
+values, not for queries.  A segment value that many rows share is a hot key of
+two plain joins, which adaptive execution splits.
 
 Defined results: a null vector has no code and neither asks nor answers; null
 ids don't ask, and as answers come last among equals; repeated rows answer
-each, and ask once per id and code; missing coordinates count as not positive
-and those beyond ``bits`` are left out; a query is among its own answers; with
-fewer than k rows all are returned; extra columns are not read.
+each, and ask once per id and code; missing, null and NaN coordinates count as
+not positive and those beyond ``bits`` are left out; a query is among its own
+answers; ties at the k-th distance go to the smallest ids; with fewer than k
+rows all are returned; an empty table or no query gives an empty result;
+extra columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import comb
+from functools import reduce
+from operator import add
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.staging import small_arrow_batches, staged
-
-SEGMENT = 16
-_VALUES = np.arange(1 << SEGMENT, dtype=np.uint32)
-_WEIGHT = np.bitwise_count(_VALUES)
-
-
-def sign_codes(vectors: list, bits: int) -> list[bytes | None]:
-    """Sign bits of vectors as bytes, a multiple of 8 each."""
-    width = -(-bits // 64) * 64
-    out: list[bytes | None] = []
-    for v in vectors:
-        if v is None:
-            out.append(None)
-            continue
-        sign = np.zeros(width, np.uint8)
-        positive = np.nan_to_num(np.asarray(v, dtype=np.float32)[:bits]) > 0
-        sign[: len(positive)] = positive
-        out.append(np.packbits(sign).tobytes())
-    return out
-
-
-class SegmentIndex:
-    def __init__(self, codes: np.ndarray):
-        """``codes``: (rows, words) of uint64."""
-        self.codes = codes
-        self.segments = codes.view(np.uint16).reshape(len(codes), -1)
-        self.tables = []
-        for s in range(self.segments.shape[1]):
-            order = np.argsort(self.segments[:, s], kind="stable")
-            self.tables.append((order, np.searchsorted(self.segments[order, s], np.arange((1 << SEGMENT) + 1))))
-
-    def _verified(self, queries: np.ndarray, q: np.ndarray, row: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(queries[q] ^ self.codes[row]).sum(axis=1, dtype=np.int64)
-
-    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, row, distance) of all rows verified, among them every query's k nearest."""
-        n, m = len(self.codes), self.segments.shape[1]
-        asked = queries.view(np.uint16).reshape(len(queries), -1)
-        near = np.zeros((len(queries), 64 * self.codes.shape[1] + 1), np.int64)
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        open_ = np.arange(len(queries))
-        for radius in range(SEGMENT + 1):
-            if not len(open_):
-                break
-            if comb(SEGMENT, radius) * m > n:
-                for q in open_:
-                    least = np.bitwise_count(self.segments ^ asked[q]).min(axis=1)
-                    row = np.flatnonzero(least >= radius)
-                    parts.append((np.full(len(row), q), row, self._verified(queries, np.full(len(row), q), row)))
-                break
-            flips = _VALUES[radius == _WEIGHT].astype(np.uint16)
-            for s, (order, heads) in enumerate(self.tables):
-                values = (asked[open_, s][:, None] ^ flips).ravel().astype(np.int64)
-                sizes = heads[values + 1] - heads[values]
-                q = np.repeat(np.repeat(open_, len(flips)), sizes)
-                place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                row = order[place + np.repeat(heads[values], sizes)]
-                apart = np.bitwise_count(self.segments[row] ^ asked[q])
-                first = (apart[:, :s] > radius).all(axis=1) & (apart[:, s:] >= radius).all(axis=1)
-                q, row = q[first], row[first]
-                d = self._verified(queries, q, row)
-                np.add.at(near, (q, d), 1)
-                parts.append((q, row, d))
-            covered = m * (radius + 1) - 1
-            open_ = open_[near[open_, : covered + 1].sum(axis=1) < min(k, n)]
-        if not parts:
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
-
-
-def _searcher(k: int):
-    def run(key: tuple, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(asks):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "query_code": pd.Series(dtype=object), "vec_id": pd.Series(dtype="Int64"), "distance": pd.Series(dtype="int64")})
-        unpack = lambda column: np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
-        q, row, d = SegmentIndex(unpack(rows["code"])).search(unpack(asks["code"]), k)
-        ids = rows["vec_id"].astype("Int64")
-        rank = np.lexsort((ids.fillna(np.iinfo(np.int64).max).to_numpy(np.int64)[row], d, q))
-        q, row, d = q[rank], row[rank], d[rank]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        q, row, d = (x[place < k] for x in (q, row, d))
-        return pd.DataFrame({"query_id": asks["vec_id"].to_numpy()[q], "query_code": asks["code"].to_numpy()[q], "vec_id": ids.iloc[row].array, "distance": d})
-
-    return run
-
-
-def hamming_topk(rows: DataFrame, is_query: Column, k: int = 10, bits: int = 64, shard_rows: int = 16384, block_queries: int = 4096) -> DataFrame:
+from quarry.llm.staging import staged
+
+SEGMENT, WORD = 16, 64
+#: Radii of the rounds: the first ones have few values each and go together.
+FIRST_RADIUS = 2
+
+
+def sign_words(vector: Column, bits: int) -> list[Column]:
+    """The signs of the first ``bits`` coordinates as 64-bit words, first coordinate highest."""
+    wide = vector.cast("array<double>")
+
+    def bit(at: int) -> Column:
+        positive = F.coalesce(F.nanvl(F.get(wide, F.lit(at)), F.lit(0.0)), F.lit(0.0)) > 0
+        place = 1 << (WORD - 1 - at % WORD)
+        return F.when(positive, F.lit(place - (1 << WORD) if place >> 63 else place).cast("long")).otherwise(F.lit(0).cast("long"))
+
+    return [reduce(lambda x, y: x.bitwiseOR(y), [bit(at) for at in range(w, min(w + WORD, bits))]) for w in range(0, bits, WORD)]
+
+
+def _segments(words: list[Column], n: int) -> list[Column]:
+    return [F.shiftrightunsigned(words[s * SEGMENT // WORD], WORD - SEGMENT - s * SEGMENT % WORD).bitwiseAND(F.lit((1 << SEGMENT) - 1)).cast("int") for s in range(n)]
+
+
+def _posted(rows: DataFrame, words: list[str], n: int) -> DataFrame:
+    """``rows`` once for every segment, with (segment, value)."""
+    values = F.array(*_segments([F.col(w) for w in words], n))
+    return rows.select("*", F.posexplode(values).alias("segment", "value"))
+
+
+def _met(asked: DataFrame, index: DataFrame, low: int, high: int, words: list[str], n: int) -> DataFrame:
+    """(q words, vec_id, distance) of the rows whose nearest segment is ``low`` to ``high`` from the query's."""
+    flips = F.filter(F.sequence(F.lit(0), F.lit((1 << SEGMENT) - 1)), lambda x: F.bit_count(x).between(low, high))
+    q = [f"q{w}" for w in words]
+    posted = _posted(asked.select(*[F.col(c).alias(w) for c, w in zip(q, words)], "kth"), words, n).select(*[F.col(w).alias(c) for c, w in zip(q, words)], "kth", "segment", F.col("value").alias("asked"))
+    held = index.select("segment", "value").distinct()
+    wanted = posted.select("segment", "asked").distinct().select("segment", "asked", F.explode(flips).alias("flip")).select("segment", "asked", F.col("asked").bitwiseXOR(F.col("flip")).alias("value"))
+    buckets = wanted.join(held, ["segment", "value"])
+    pairs = posted.join(buckets, ["segment", "asked"]).join(index, ["segment", "value"])
+    apart = [F.col(a).bitwiseXOR(F.col(w)) for a, w in zip(q, words)]
+    near = [F.bit_count(s) for s in _segments(apart, n)]
+    least = F.least(*near) if n > 1 else near[0]
+    first = reduce(lambda rest, s: F.when(near[s] == least, F.lit(s)).otherwise(rest), reversed(range(n)), F.lit(n))
+    distance = reduce(add, [F.bit_count(x) for x in apart]).cast("int")
+    fits = (first == F.col("segment")) & (least >= low) & (F.col("kth").isNull() | (distance <= F.col("kth")))
+    return pairs.where(fits).select(*q, "vec_id", distance.alias("distance"))
+
+
+def hamming_topk(rows: DataFrame, is_query: Column, k: int = 10, bits: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, distance): the k nearest rows of every query row, ties by id."""
-    small_arrow_batches(rows.sparkSession, 4096)
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            vectors = [None if v is None else [x or 0.0 for x in v] for v in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sign_codes(vectors, bits), pa.binary())], names=["vec_id", "asks", "code"])
-
-    vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asks"), "embedding")
-    codes = staged(vectors.mapInArrow(coded, "vec_id long, asks boolean, code binary").where("code IS NOT NULL"), "codes")
-    asking = codes.where("asks AND vec_id IS NOT NULL").select("vec_id", "code").distinct()
-    shards = max(1, -(-codes.count() // shard_rows))
-    blocks = max(1, -(-asking.count() // block_queries))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = codes.withColumn("shard", F.pmod(F.xxhash64("vec_id", "code", F.monotonically_increasing_id()), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
-    right = asking.withColumn("block", F.pmod(F.xxhash64("vec_id", "code"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
-    found = (
-        left.select("shard", "block", "vec_id", "code").groupBy("shard", "block")
-        .cogroup(right.select("shard", "block", "vec_id", "code").groupBy("shard", "block"))
-        .applyInPandas(_searcher(k), "query_id long, query_code binary, vec_id long, distance int")
-    )
-    order = Window.partitionBy("query_id", "query_code").orderBy("distance", F.col("vec_id").asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+    n = -(-bits // SEGMENT)
+    vectors = rows.where(rows["embedding"].isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asks"), "embedding")
+    columns = sign_words(F.col("embedding"), bits)
+    words = [f"w{i}" for i in range(len(columns))]
+    q = [f"q{w}" for w in words]
+    codes = staged(vectors.select("vec_id", "asks", *[c.alias(w) for c, w in zip(columns, words)]), "codes")
+    least_ids = Window.partitionBy(*words).orderBy(F.col("vec_id").asc_nulls_last())
+    answers = codes.select("vec_id", *words, F.row_number().over(least_ids).alias("place")).where(F.col("place") <= k).drop("place")
+    index = staged(_posted(answers, words, n), "index")
+    want = min(k, codes.count())
+    asking = codes.where("asks AND vec_id IS NOT NULL").select(F.col("vec_id").alias("query_id"), *[F.col(w).alias(c) for c, w in zip(q, words)]).distinct()
+    queries = staged(asking.select(*q).distinct(), "queries")
+    nearest = Window.partitionBy(*q).orderBy("distance", F.col("vec_id").asc_nulls_last())
+    best: DataFrame | None = None
+    asked = queries.withColumn("kth", F.lit(None).cast("int"))
+    low, high = 0, FIRST_RADIUS
+    while True:
+        found = _met(asked, index, low, high, words, n)
+        found = found if best is None else best.drop("rank").unionByName(found)
+        best = staged(found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k), "best")
+        low, high = high + 1, high + 1
+        if high > SEGMENT:
+            break
+        kth = best.groupBy(*q).agg(F.when(F.count("*") >= want, F.max("distance")).alias("kth"))
+        asked = staged(queries.join(kth, q, "left").where(F.col("kth").isNull() | (F.col("kth") > n * low - 1)), "asked")
+        if asked.isEmpty():
+            break
+    return asking.join(best, q).select("query_id", "rank", "vec_id", "distance")

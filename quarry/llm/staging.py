@@ -4,22 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from quarry.staging import shared_dir, staged
+from quarry.staging import drop_staged, shared_dir, staged, staging_dir
 
-__all__ = ["drop_staged", "shared_dir", "small_arrow_batches", "staged"]
+__all__ = ["ARROW_BYTES", "drop_staged", "shared_dir", "small_arrow_batches", "staged", "staging_dir"]
 
+#: What one Arrow batch of whole texts may hold in a Python worker (one row at least).
+ARROW_BYTES = 8 << 20
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete every table that ``staged`` left in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(root):
-        for entry in fs.listStatus(root):
-            if entry.getPath().getName().startswith("quarry-"):
-                fs.delete(entry.getPath(), True)
 
-
-def small_arrow_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch of whole texts holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_arrow_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes; one setting for all operators, so frames that run later keep their bound."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))

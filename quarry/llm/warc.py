@@ -159,7 +159,7 @@ def _reader(with_payload: bool):
 
 def write_archives(pages: DataFrame, archive_bytes: int = 1 << 20, level: int = 3) -> DataFrame:
     """A staged table of archives (column ``archive``) with a record for every row of ``pages``."""
-    small_arrow_batches(pages.sparkSession, 128)
+    small_arrow_batches(pages.sparkSession)
     payload = F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary")
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     lead = rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("lead"), F.count("*").alias("copies")).where("copies > 1 AND lead IS NOT NULL").select("digest", "lead")
@@ -170,6 +170,6 @@ def write_archives(pages: DataFrame, archive_bytes: int = 1 << 20, level: int =
 
 def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
     """One row per response or revisit of the archives in column ``archive``."""
-    small_arrow_batches(archives.sparkSession, 4)
+    small_arrow_batches(archives.sparkSession)
     tail = ", payload binary" if with_payload else ""
     return archives.select("archive").mapInArrow(_reader(with_payload), f"page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long{tail}")

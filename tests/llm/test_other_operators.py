@@ -14,34 +14,57 @@ from quarry.llm import hamming_topk as ham
 from quarry.llm import html_text, warc
 
 
-@pytest.mark.parametrize("shard_rows", [7, 1000])
-def test_hamming_topk(spark, shard_rows):
-    rng = np.random.default_rng(2)
-    base = rng.standard_normal((40, 64)).astype(np.float32)
-    vectors = [base[rng.integers(40)] * rng.choice([-1, 1, 1, 1, 1, 1, 1], 64) for _ in range(400)]
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(500, None), (600, []), (None, [1.0] * 64), (7, [1.0] * 64), (700, [float("nan")] * 64)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    codes = [(i, np.frombuffer(ham.sign_codes([v], 64)[0], np.uint8)) for i, v in rows if v is not None]
+def sign_code(vector, bits=64):
+    """The signs of a vector as a string of 0 and 1."""
+    return "".join("1" if x is not None and x > 0 else "0" for x in [*vector, *[0.0] * bits][:bits])
+
+
+def brute_topk(rows, k, bits=64):
+    codes = [(i, int(sign_code(v, bits), 2)) for i, v in rows if v is not None]
     want = {}
-    for q, qc in codes:
+    for q, qc in set(codes):
         if q is not None and q % 100 == 0:
-            near = sorted((int(np.bitwise_count(qc ^ c).sum()), i is None, i or 0) for i, c in codes)[:10]
-            want[q] = [(d, None if none else i) for d, none, i in near]
+            near = sorted(((qc ^ c).bit_count(), i is None, i or 0) for i, c in codes)[:k]
+            want.setdefault(q, []).append([(d, None if none else i) for d, none, i in near])
+    return {q: sorted(v) for q, v in want.items()}
+
+
+def found_topk(df, k, bits=64):
     got = {}
-    for r in ham.hamming_topk(df, F.col("vec_id") % 100 == 0, shard_rows=shard_rows, block_queries=3).orderBy("query_id", "rank").collect():
+    for r in sorted(ham.hamming_topk(df, F.col("vec_id") % 100 == 0, k=k, bits=bits).collect(), key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append((r.distance, r.vec_id))
-    assert got == want
+    return {q: [v] for q, v in got.items()}
+
+
+@pytest.mark.parametrize(("k", "bits"), [(10, 64), (3, 40), (2, 96)])
+def test_hamming_topk(spark, k, bits):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((40, bits)).astype(np.float32)
+    vectors = [base[rng.integers(40)] * rng.choice([-1, 1, 1, 1, 1, 1, 1], bits) for _ in range(400)]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(500, None), (600, []), (None, [1.0] * 64), (7, [1.0] * 64), (7, [1.0] * 64), (700, [float("nan"), None] * 32)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert found_topk(df, k, bits) == brute_topk(rows, k, bits)
     assert ham.hamming_topk(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
-def test_segment_index_grows_its_radius():
+def test_hamming_topk_with_copies_and_ties(spark):
+    """A third of the rows share a code, many tie at the k-th distance, and few rows are all returned."""
+    rows = [(i, [1.0] * 64) for i in range(200)] + [(1000 + i, [1.0] * i + [-1.0] + [1.0] * (63 - i)) for i in range(64)] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert found_topk(df, 10) == brute_topk(rows, 10)
+    assert found_topk(df.where("vec_id = 100 OR vec_id > 1060"), 10) == brute_topk([r for r in rows if r[0] == 100 or r[0] > 1060], 10)
+
+
+def test_hamming_rounds_leave_far_rows_alone(spark):
+    """On clustered codes the rounds end before most rows are verified; no round takes all rows."""
     rng = np.random.default_rng(3)
-    codes = rng.integers(0, 1 << 62, (30000, 1), dtype=np.uint64)
-    asks = codes[:5] ^ np.uint64(0b1011)
-    q, row, d = ham.SegmentIndex(codes).search(asks, 1)
-    for k in range(5):
-        assert d[q == k].min() == np.bitwise_count(codes ^ asks[k]).sum(axis=1).min()
-    assert len(row) < 30000  # near hits are proven without looking at all rows
+    heads = rng.integers(0, 1 << 62, 200)
+    codes = [int(h) ^ sum(1 << int(b) for b in rng.integers(0, 62, 2)) for h in np.repeat(heads, 50)]
+    codes = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "vec_id long, w0 long")
+    asked = codes.where("vec_id % 1000 = 0").select(F.col("w0").alias("qw0"), F.lit(None).cast("int").alias("kth"))
+    met = ham._met(asked, ham._posted(codes, ["w0"], 4), 0, 2, ["w0"], 4)
+    close = met.where("distance <= 4").count()
+    assert close >= 10 * 50 and met.count() < 0.2 * 10 * 10000
 
 
 def pages(spark):
