@@ -15,15 +15,21 @@ others to their last dive, all text is kept.
 
 Defined results: null or empty html gives the empty text; character references
 are decoded once; white space is what ``str.split`` takes for it; an element
-that is never closed hides nothing but its own tag; equal pages give equal
-texts; extra columns travel in the struct ``doc``.
+that is never closed hides nothing but its own tag; a comment that is never
+closed hides the rest; after a tag whose quotes never close, tags end at their
+first ``>``; pages of any length are scanned once, in time that grows with
+their length; equal pages give equal texts; rows that repeat an id are rows
+like others; an empty table gives an empty result; extra columns travel in
+the struct ``doc``.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +40,11 @@ from quarry.llm.staging import small_arrow_batches
 
 WINDOW = 3
 SURGE, WEIGHT = 40, 4
-_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+_NAME = r"<(/?)([A-Za-z][^\s/>]*+)"
+#: A comment's head, a declaration, a tag with well-formed quotes, a tag up to the next ``>``.
+_TAG = re.compile(rf"<!--|<[!?][^>]*+>|{_NAME}((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|{_NAME}([^>]*+)>")
+_PLAIN_TAG = re.compile(rf"<!--|<[!?][^>]*+>|{_NAME}([^>]*+)>")
+_COMMENT_END = re.compile(r"--!?>")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "math", "object", "select", "button", "canvas", "audio", "video"}
 _APART = {"nav", "footer", "aside", "form", "dialog", "menu"}
@@ -92,13 +102,25 @@ class _Page:
         low = page.lower()
         if len(low) != len(page):  # a letter whose lower case is longer; offsets must agree
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
-        at, opened = 0, {}
-        while at < len(page) and (m := _TAG.search(page, at)):
+        at, opened, last, tag = 0, {}, page.rfind(">") + 1, _TAG
+        endless: set[str] = set()
+        while at < last and (m := tag.search(page, at, last)):
             start, at = m.start(), m.end()
-            name = (m[2] or m[5] or "").lower()
-            closing, attributes, k = bool(m[1] or m[4]), m[3] or m[6] or "", len(self.tags)
-            if name in _RAW and not closing and (end := low.find(f"</{name}", at)) >= 0:
-                at = end
+            if m[0] == "<!--":
+                done = _COMMENT_END.search(page, at)
+                at = done.end() if done else len(page)
+                self.tags.append((start, at, "", False, ""))
+                continue
+            if tag is _TAG and m[5]:  # quotes that never close: from here on every tag ends at its first >
+                tag, closing, name, attributes = _PLAIN_TAG, bool(m[4]), m[5], m[6]
+            else:
+                closing, name, attributes = bool(m[1]), m[2] or "", m[3] or ""
+            name, k = name.lower(), len(self.tags)
+            if name in _RAW and not closing and name not in endless:
+                if (end := low.find(f"</{name}", at)) >= 0:
+                    at = end
+                else:
+                    endless.add(name)
             self.tags.append((start, at, name, closing, attributes))
             stack = opened.setdefault(name, [])
             if closing and stack:
@@ -107,13 +129,17 @@ class _Page:
                 if name == "p" and stack:  # a paragraph ends where the next begins
                     self.ends[stack.pop()] = k - 1
                 stack.append(k)
+        if at < len(page) and (start := page.find("<!--", max(at, last))) >= 0:
+            self.tags.append((start, len(page), "", False, ""))
         self.heads = [k for k, t in enumerate(self.tags) if t[2] == "h1" and not t[3]]
         own = [k for k in self.ends if self.tags[k][2] == "article" and not self.comment(k)]
         largest = max(own, key=lambda k: (self.tags[self.ends[k]][0] - self.tags[k][1], -k), default=None)
-        self.core = [k for k in self.ends if self.tags[k][2] == "main" or k == largest]
+        self.core = sorted(k for k in self.ends if self.tags[k][2] == "main" or k == largest)
 
     def holds(self, k: int, inner: list[int]) -> bool:
-        return any(k < j <= self.ends[k] for j in inner)
+        """Whether one of the tags ``inner`` (in page order) lies inside element k."""
+        first = bisect_right(inner, k)
+        return first < len(inner) and inner[first] <= self.ends[k]
 
     def comment(self, k: int) -> bool:
         """A reader's comment: an article by class, without a title of its own."""
@@ -185,7 +211,9 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         return lines
     lengths = [weight(*line) for line in lines]
     a, b = max(stretches(lengths), key=lambda r: sum(lengths[r[0] : r[1]]), default=(0, 0))
-    shown = {k for k in doubtful if 2 * sum(lengths[i] for i in range(a, b) if k < ends[i] <= parsed.ends[k]) > sum(lengths[a:b])}
+    before = [0, *accumulate(lengths)]
+    within = lambda k: before[bisect_right(ends, parsed.ends[k], a, b)] - before[bisect_right(ends, k, a, b)]
+    shown = {k for k in doubtful if 2 * within(k) > before[b] - before[a]}
     return parsed.lines(shown)[0]
 
 
