@@ -13,7 +13,8 @@ A stretch without any n-gram of the vocabulary has the unknown class's score,
 so only stretches that have some are worked out; that skips no text.
 
 Defined results: null, empty and wordless texts have no licence; equal texts
-get equal results; a text with several families names the one of the highest
+get equal results (rows that repeat an id are rows like others); an empty
+table gives an empty result; a text with several families names the one of the highest
 probability (ties by name) and lists all; very long texts are walked in
 bounded spans; extra columns travel in the struct ``doc``.
 """
@@ -34,26 +35,73 @@ from quarry.llm.textkit import slices, string_buffers, window_hashes, word_hashe
 
 STRETCH, STEP = 24, 12
 UNKNOWN = "unknown"
+#: An n-gram of the training texts is a feature if it is in a template or in so many of them.
+COMMON = 12
+RATE, PENALTY = 0.5, 0.02
+#: Share of wrong families among the held-out verdicts that the calibrated unknown class may leave.
+FALSE_SHARE = 0.005
 
-# Common notices of licence families.
+# Notices and sentences of licence families.
 TEMPLATES: dict[str, list[str]] = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "Distributed under the Apache License 2.0", "SPDX-License-Identifier: Apache-2.0", "you may not use this file except in compliance with the License"],
-    "MIT": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the terms of the MIT license", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
-    "GPL": ["This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GNU GPL version 2"],
-    "LGPL": ["under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-only"],
-    "AGPL": ["under the terms of the GNU Affero General Public License", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Licensed under the BSD 3-Clause License", "Released under the BSD license", "SPDX-License-Identifier: BSD-3-Clause"],
-    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0"],
-    "CC-BY-NC": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "available under CC BY-NC-SA 4.0"],
-    "CC-BY-SA": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "CC-BY": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "CC0": ["Released under CC0 1.0 Universal", "To the extent possible under law, the author has waived all copyright and related rights", "dedicated to the public domain"],
-    "Proprietary": ["All rights reserved. Unauthorized copying of this file is strictly prohibited", "This software is proprietary and confidential"],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0", "Distributed under the Apache License 2.0", "SPDX-License-Identifier: Apache-2.0", "you may not use this file except in compliance with the License",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+        "See the License for the specific language governing permissions and limitations under the License", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license",
+    ],
+    "MIT": [
+        "Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the terms of the MIT license", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    ],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Licensed under the ISC License", "SPDX-License-Identifier: ISC"],
+    "GPL": [
+        "This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GNU GPL version 2",
+        "You should have received a copy of the GNU General Public License along with this program", "SPDX-License-Identifier: GPL-2.0-only", "Released under the GPL v3",
+    ],
+    "LGPL": ["under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-only", "You should have received a copy of the GNU Lesser General Public License along with this library", "Licensed under the LGPL version 3"],
+    "AGPL": ["under the terms of the GNU Affero General Public License", "SPDX-License-Identifier: AGPL-3.0-only", "You should have received a copy of the GNU Affero General Public License along with this program", "Licensed under the AGPL version 3"],
+    "BSD": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted", "Licensed under the BSD 3-Clause License", "Released under the BSD license", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+        "may be used to endorse or promote products derived from this software without specific prior written permission", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file",
+    ],
+    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "SPDX-License-Identifier: MPL-2.0"],
+    "EPL": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0", "Licensed under the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "EUPL": ["Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission", "Licensed under the European Union Public Licence", "SPDX-License-Identifier: EUPL-1.2"],
+    "CDDL": ["The contents of this file are subject to the terms of the Common Development and Distribution License", "Licensed under the Common Development and Distribution License", "SPDX-License-Identifier: CDDL-1.0"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0", "Use, modification and distribution are subject to the Boost Software License", "SPDX-License-Identifier: BSL-1.0"],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software", "Licensed under the zlib License", "SPDX-License-Identifier: Zlib",
+    ],
+    "Unlicense": ["This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", "Released under the Unlicense", "SPDX-License-Identifier: Unlicense"],
+    "WTFPL": ["Do What The Fuck You Want To Public License", "Licensed under the WTFPL", "SPDX-License-Identifier: WTFPL"],
+    "Artistic": ["This is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0", "Licensed under the Artistic License", "SPDX-License-Identifier: Artistic-2.0"],
+    "PSF": ["Licensed under the Python Software Foundation License", "PSF hereby grants Licensee a nonexclusive, royalty-free, world-wide license to reproduce, analyze, test", "SPDX-License-Identifier: PSF-2.0"],
+    "PostgreSQL": ["Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted", "Licensed under the PostgreSQL License", "SPDX-License-Identifier: PostgreSQL"],
+    "OFL": ["This Font Software is licensed under the SIL Open Font License, Version 1.1", "SPDX-License-Identifier: OFL-1.1"],
+    "ODbL": ["made available under the Open Database License", "Licensed under the ODbL 1.0", "SPDX-License-Identifier: ODbL-1.0"],
+    "GFDL": ["Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License", "SPDX-License-Identifier: GFDL-1.3-or-later"],
+    "CC-BY-NC-ND": ["Licensed under CC BY-NC-ND 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-ND-4.0"],
+    "CC-BY-NC-SA": ["Licensed under CC BY-NC-SA 4.0", "available under CC BY-NC-SA 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-SA-4.0"],
+    "CC-BY-NC": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "CC-BY-ND": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "SPDX-License-Identifier: CC-BY-ND-4.0"],
+    "CC-BY-SA": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "available under the Creative Commons Attribution-ShareAlike License", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "CC-BY": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"],
+    "CC0": ["Released under CC0 1.0 Universal", "To the extent possible under law, the author has waived all copyright and related rights", "dedicated to the public domain", "SPDX-License-Identifier: CC0-1.0"],
+    "Proprietary": [
+        "All rights reserved", "Unauthorized copying of this file, via any medium, is strictly prohibited", "This software is proprietary and confidential", "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means",
+        "without the prior written permission of the publisher", "SPDX-License-Identifier: LicenseRef-Proprietary",
+    ],
 }
 _ALIKE = [
     "the driver must renew a license every year", "a new version of the program was released under pressure", "he had a public debate with the general", "the author reserved all seats for the rest of the day",
     "she was licensed to fish under the bridge", "version 2.0 of the plan was released today", "the terms of the contract are confidential", "permission to leave was granted to any person", "they work under the terms of a truce",
     "the apache people of the plains", "creative people in common rooms", "redistribution of wealth in modern states", "a licence fee is due in march", "mit researchers released a study", "use of this road is prohibited at night",
+    "all rights of way were reserved for walkers", "the union reserved its rights in court", "the eclipse was public and free for all", "an artistic version of the work was made available", "the boost came from a software update",
+    "the foundation granted a royalty free stay", "copies of the software were sold without a fee", "the python was released into the domain of the zoo", "the font was made in a public school", "no part of this play may be cut",
 ]
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = True
@@ -110,7 +158,7 @@ class LicenseModel:
         return max((float(np.isin(t, seen).mean()) for t in self.templates[family]), default=0.0)
 
 
-def train(seed: int = 5, per_family: int = 160, rounds: int = 400) -> LicenseModel:
+def train(seed: int = 5, per_family: int = 120, rounds: int = 60) -> LicenseModel:
     rng = np.random.default_rng(seed)
     families = [*sorted(TEMPLATES), UNKNOWN]
     common = "the of and to in a is that for it as was with be by on not he his this are or at from".split()
@@ -136,23 +184,18 @@ def train(seed: int = 5, per_family: int = 160, rounds: int = 400) -> LicenseMod
             middle = " ".join(words[at : at + 2])
         samples.append((" ".join([filler(int(rng.integers(2, 14))), middle, filler(int(rng.integers(2, 14)))]), len(families) - 1))
     grams = [np.unique(np.concatenate(_grams(_words_of(text)))) for text, _ in samples]
-    source = np.unique(np.concatenate([np.concatenate(_grams(_words_of(t))) for t in [*every, *_ALIKE]]))
+    seen, times = np.unique(np.concatenate(grams), return_counts=True)
+    own = np.unique(np.concatenate([np.concatenate(_grams(_words_of(t))) for t in [*every, *_ALIKE]]))
+    source = np.union1d(own, seen[times >= COMMON])
     y = np.array([label for _, label in samples])
-    x = np.zeros((len(samples), len(source)), np.float32)
-    for i, g in enumerate(grams):
-        own = np.searchsorted(source, g)
-        own[own == len(source)] = 0
-        x[i, own[source[own] == g]] = 1
     held = rng.random(len(y)) < 0.3
-    w, b = np.zeros((len(source), len(families)), np.float32), np.zeros(len(families), np.float32)
-    target = np.eye(len(families), dtype=np.float32)[y]
-    for _ in range(rounds):
-        z = x[~held] @ w + b
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        d = (e / e.sum(axis=1, keepdims=True) - target[~held]) / (~held).sum()
-        w -= 4.0 * (x[~held].T @ d + 1e-4 * w)
-        b -= 4.0 * d.sum(axis=0)
-    z = x[held] @ w + b
+    known = [np.intersect1d(g, source, assume_unique=True) for g in grams]
+    rows = np.repeat(np.arange(len(y)), [len(g) for g in known])
+    columns = np.searchsorted(source, np.concatenate(known))
+    w, b = _fit(rows[~held[rows]], columns[~held[rows]], y, held, len(source), len(families), rounds)
+    z = np.tile(b, (len(y), 1))
+    np.add.at(z, rows, w[columns])
+    z = z[held]
     losses = []
     for temperature in (0.5, 0.7, 1.0, 1.4, 2.0):
         s = z / temperature
@@ -163,12 +206,45 @@ def train(seed: int = 5, per_family: int = 160, rounds: int = 400) -> LicenseMod
     templates = [[window_hashes(words, 3) if len(words) > 3 else window_hashes(words, 2) for words in map(_words_of, TEMPLATES[f])] for f in families[:-1]]
     model = LicenseModel(families, source, w, b, min(losses)[1], 0.5, templates, sieve)
     p = model.probabilities(z)
-    best, top = p.argmax(axis=1), p.max(axis=1)
-    wrong = (best != len(families) - 1) & (best != y[held])
-    model.least = float(min(0.9, max([0.5, *top[wrong]])))
+    model.least = _least_probability(p, y[held], len(families) - 1)
     return model
 
 
+def _fit(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, held: np.ndarray, features: int, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax regression over the sparse ones at (rows, columns), by gradient steps scaled per weight."""
+    w, b = np.zeros((features, classes), np.float32), np.zeros(classes, np.float32)
+    target = np.eye(classes, dtype=np.float32)[y]
+    live = np.flatnonzero(~held)
+    heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    filled = rows[heads]
+    by_column = np.argsort(columns, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(columns[by_column]) > 0])
+    used, order = columns[by_column][starts], rows[by_column]
+    past = np.full((len(used), classes), 1e-8, np.float32)
+    past_b = np.full(classes, 1e-8, np.float32)
+    for _ in range(rounds):
+        z = np.tile(b, (len(y), 1))
+        z[filled] += np.add.reduceat(w[columns], heads, axis=0)
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        d = e / e.sum(axis=1, keepdims=True) - target
+        g = np.add.reduceat(d[order], starts, axis=0) + PENALTY * w[used]
+        past += g * g
+        w[used] -= RATE * g / np.sqrt(past)
+        g = d[live].sum(axis=0)
+        past_b += g * g
+        b -= RATE * g / np.sqrt(past_b)
+    return w, b
+
+
+def _least_probability(p: np.ndarray, y: np.ndarray, unknown: int) -> float:
+    """The smallest probability from which on at most ``FALSE_SHARE`` of the held-out family verdicts are wrong."""
+    best, top = p.argmax(axis=1), p.max(axis=1)
+    order = np.argsort(-top[best != unknown], kind="stable")
+    tops, wrong = top[best != unknown][order], (best != y)[best != unknown][order]
+    fine = np.flatnonzero(np.cumsum(wrong) <= FALSE_SHARE * np.arange(1, len(wrong) + 1))
+    return float(max(0.5, tops[fine[-1]])) if len(fine) else 1.0
+
+
 def scan_texts(model: LicenseModel, column: pa.Array, confirm: float = 0.6) -> list[dict[str, tuple[float, float, int]]]:
     """Per text: family -> (probability, share of a template found, stretches)."""
     raw_all, bounds_all = string_buffers(column)
