@@ -246,7 +246,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, text: str = "text", max_labell
     )
     # max_labelled bounds the broadcast side.
     joined = docs.select("doc_id", docs[text].alias("_text")).join(F.broadcast(sample), "doc_id")
-    rows = quality_stats(joined, "_text", ["doc_id", "quality"]).select("doc.doc_id", "doc.quality", *COUNTS).limit(4 * max_labelled).toPandas()
+    counted = quality_stats(joined, "_text", ["doc_id", "quality"]).select("doc.doc_id", "doc.quality", *COUNTS)
+    # Of rows that repeat an id one is learned from, so max_labelled bounds what the driver gets.
+    rows = counted.groupBy("doc_id").agg(F.min(F.struct("quality", *COUNTS)).alias("row")).select("doc_id", "row.*").toPandas()
     if not len(rows):
         return []
     rows = rows.sort_values(list(rows.columns)).reset_index(drop=True)
