@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -153,6 +154,20 @@ def test_html_short_parts_of_the_article_stay():
     assert f(f"<p>Shop</p>{links}{lead}{story}{end}{links}<p>2026</p>") == f"Lead. {want} End."
 
 
+@pytest.mark.parametrize("page", ["<a" * 9000, '<a"' * 9000, '<a "' * 9000 + ">", "<a \"x>" * 9001, "<!" * 9000, "<!--" * 9000, "<svg>" * 9000, "<h1>a</h1>" * 3000 + "<div class=promo>b</div>" * 3000, "<div>a" * 9000, "<p class" + " " * 90000 + ">"])
+def test_html_long_hostile_pages_end(page):
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 3
+
+
+def test_html_broken_quotes_and_comments():
+    assert html_text.main_text('<p>one <b title="x>two</b> three</p><p>four</p>') == "one two three four"
+    assert html_text.main_text("<p>one</p><!-- > two") == "one"
+    assert html_text.main_text("<p>one</p><!-- <p>two</p>") == "one"
+    assert html_text.main_text('<p title="a > b">one</p>') == "one"
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", None, "t"), (1, "u", "<p>a</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.doc.text, r.text) for r in html_text.extract_text(df).collect()) == [("t", ""), ("t", "a")]

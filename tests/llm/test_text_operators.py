@@ -200,6 +200,20 @@ def test_first_fit_decreasing_is_plain_first_fit():
         assert packing.first_fit_decreasing(lengths) == [want[i] for i in range(len(lengths))]
 
 
+def test_packing_ids_of_plain_texts_are_those_of_tokenizers():
+    """Every pair of code points below U+0250, next to letters, digits and white space."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    paths = [public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken")]
+    slow = Tokenizer.from_file(paths[0])
+    points = [chr(c) for c in range(0x250)]
+    texts = ["".join(f"a{c}{d}b {c}{d}1 \n{c}{d} " for d in points) for c in points]
+    assert all(packing._PLAIN.fullmatch(t) for t in texts)
+    for text, want in zip(texts, slow.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert packing.token_ids(text, *paths, public_tokenizers.PATTERN)[:-1].tolist() == want.ids
+
+
 def test_packing_places_every_id_once(spark, odd_docs):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -374,7 +388,7 @@ def test_line_dedup(spark, odd_docs):
 
 
 def test_license_scan(spark, odd_docs):
-    model = license_scan.train(per_family=60, rounds=200)
+    model = license_scan.train()
     filler = "Erated of the thand tion erly onend re stedat. " * 12
     cases = [(filler + "\nReleased under the MIT License.", "MIT"), ("Licensed under the Apache License, Version 2.0. " + filler, "Apache-2.0"), (filler, None), ("The licence to fish was released under the bridge.", None), (None, None), ("", None)]
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
@@ -384,10 +398,38 @@ def test_license_scan(spark, odd_docs):
 
 
 def test_wrapped_license_notices():
-    model = license_scan.train(per_family=60, rounds=200)
+    model = license_scan.train()
     gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
     mit = "Permission is hereby granted, free of\ncharge, to any person obtaining a\ncopy of this software and associated documentation files"
     filler = "Erated of the thand tion erly onend re stedat.\n" * 3
     texts = [gpl, "# " + gpl.replace("\n", "\n# "), filler + mit + "\n" + filler, gpl + "\n \t\n" + mit, mit.replace("\n", "\n \r\n"), gpl[:40], gpl[40:90]]
     found = [sorted(f) for f in license_scan.scan_texts(model, pa.array(texts))]
     assert found == [["GPL"], ["GPL"], ["MIT"], ["GPL", "MIT"], [], [], []]
+
+
+def test_license_families_are_found_in_other_words():
+    """Every notice of every family, set into prose that no training saw; near misses and prose name none."""
+    model = license_scan.train()
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice("river stone walks under bright morning window they carry seven letters home and nobody asks".split()) for _ in range(n))
+    cases = [(f, t) for f, notices in license_scan.TEMPLATES.items() for t in notices]
+    texts = [f"{prose(30)}\n\n{prose(rng.randint(0, 9))} {t}. {prose(9)}\n\n{prose(30)}" for _, t in cases]
+    found = license_scan.scan_texts(model, pa.array(texts))
+    right = [f in g for (f, _), g in zip(cases, found)]
+    assert sum(right) >= 0.95 * len(cases)
+    assert sum(len(set(g) - {f}) for (f, _), g in zip(cases, found)) <= 0.05 * len(cases)
+    assert not any(license_scan.scan_texts(model, pa.array([prose(60) for _ in range(200)] + ["the terms of the agreement were granted to any person in the public domain of rights"])))
+
+
+def test_license_shares_are_those_of_plain_comparison():
+    """The confirming share by brute force over the words of short texts."""
+    model = license_scan.train()
+    grams = lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 3 else {tuple(w[k : k + 2]) for k in range(len(w) - 1)}
+    split = lambda t: re.findall(r"[0-9a-z]+", t.lower())
+    for family, notices in license_scan.TEMPLATES.items():
+        text = "we say: " + " ".join(notices[0].split()[:40])
+        for found in license_scan.scan_texts(model, pa.array([text])):
+            if family in found:
+                w = split(text)
+                seen = {tuple(w[k : k + n]) for n in (2, 3) for k in range(len(w) - n + 1)}
+                assert found[family][1] == max(sum(g in seen for g in grams(split(t))) / len(grams(split(t))) for t in notices)
