@@ -39,6 +39,8 @@ from quarry.llm.staging import staged
 SEGMENT, WORD = 16, 64
 #: Radii of the rounds: the first ones have few values each and go together.
 FIRST_RADIUS = 2
+#: Up to so many segments their held values (at most 2 ** 19 rows of 8 bytes) are broadcast.
+BROADCAST_SEGMENTS = 8
 
 
 def sign_words(vector: Column, bits: int) -> list[Column]:
@@ -65,13 +67,17 @@ def _posted(rows: DataFrame, words: list[str], n: int) -> DataFrame:
 
 def _met(asked: DataFrame, index: DataFrame, low: int, high: int, words: list[str], n: int) -> DataFrame:
     """(q words, vec_id, distance) of the rows whose nearest segment is ``low`` to ``high`` from the query's."""
-    flips = F.filter(F.sequence(F.lit(0), F.lit((1 << SEGMENT) - 1)), lambda x: F.bit_count(x).between(low, high))
+    flips = F.split(F.lit(",".join(str(x) for x in range(1 << SEGMENT) if low <= x.bit_count() <= high)), ",").cast("array<int>")
     q = [f"q{w}" for w in words]
     posted = _posted(asked.select(*[F.col(c).alias(w) for c, w in zip(q, words)], "kth"), words, n).select(*[F.col(w).alias(c) for c, w in zip(q, words)], "kth", "segment", F.col("value").alias("asked"))
     held = index.select("segment", "value").distinct()
-    wanted = posted.select("segment", "asked").distinct().select("segment", "asked", F.explode(flips).alias("flip")).select("segment", "asked", F.col("asked").bitwiseXOR(F.col("flip")).alias("value"))
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = posted.select("segment", "asked").distinct().repartition(parts, F.xxhash64("segment", "asked"))  # each row becomes many
+    wanted = spread.select("segment", "asked", F.explode(flips).alias("flip")).select("segment", "asked", F.col("asked").bitwiseXOR(F.col("flip")).alias("value"))
+    # The values held number at most 65,536 a segment; the pairs of buckets have no such bound.
+    held = F.broadcast(held) if n <= BROADCAST_SEGMENTS else held.hint("merge")
     buckets = wanted.join(held, ["segment", "value"])
-    pairs = posted.join(buckets, ["segment", "asked"]).join(index, ["segment", "value"])
+    pairs = buckets.hint("merge").join(posted, ["segment", "asked"]).join(index.hint("merge"), ["segment", "value"])
     apart = [F.col(a).bitwiseXOR(F.col(w)) for a, w in zip(q, words)]
     near = [F.bit_count(s) for s in _segments(apart, n)]
     least = F.least(*near) if n > 1 else near[0]
