@@ -1,24 +1,31 @@
 """N-gram Jaccard join: exact components of documents whose 5-word shingle sets overlap.
 
 Documents with equal sets form one class; classes are joined, copies are not.
-A class's shingle hashes are sorted; two sets of Jaccard 0.8 share most of any
-stretch of their merged order, so they share two *neighbouring* hashes early
-on.  Each class is posted under its first ``KEYS`` neighbouring pairs.  Sets of
-at most ``KEYS`` + 1 shingles are posted under all of them, which is a proof
-for pairs of two such sets: the at most 0.2 u unshared of u merged hashes leave a run of at least
-0.8 u / (0.2 u + 1) shared ones, two or more from u = 5 on.  With a larger set the
-chance that 48 places in hash order hold no such pair is below 0.513 ** 48, or
-2e-14, for each linked pair, less than that of a collision of 64-bit hashes.
-
-Posted groups are first contracted: in each of ``ROUNDS`` rounds every component
-of a group is verified against one head of the group (the member that shares
-most keys with others, later members by hash), by its most often proposed pair.
-What is still apart goes through signature trees.  Per group (split into pairs
-of blocks when large) nodes hold the OR of token bitmaps, the range of sizes,
-the largest number of tokens hidden by bitmap collisions and the component, if
-only one.  A dual traversal drops node pairs of one component, of sizes out of
-range, or whose largest possible overlap is too small.  A pair survives only in
-the group of its smallest common key and is verified on whole texts.  No round collects pairs or components on the driver.
+Links come from signature trees over groups of classes, and whole texts verify
+them.  A group holds the classes that share a *neighbour key*: two hashes that
+are neighbours in the sorted order of a class's shingle hashes.  Every class is
+posted under the neighbour keys of its first 0.4 n + 2 hashes, n being its size,
+and that loses no link: of sets that link, at most 0.2 n - 0.8 b hashes of the
+one are its own and b are the other's own.  As long as no two shared hashes are
+neighbours in the merged order, an unshared one lies between any two shared
+ones, so before the first such pair the one set has at most 2 (0.2 n - 0.8 b) + b
+<= 0.4 n hashes.  Keys whose groups have the same members count once.
+
+A tree's nodes hold the OR of token bitmaps, the range of sizes, the largest
+number of tokens hidden by bitmap collisions and the component, if only one.  A
+dual traversal drops node pairs of one component, of sizes out of range, or
+whose largest possible overlap is too small.  In each of ``ROUNDS`` rounds every
+class stays in one of its groups (the least by a hash that changes by round, so
+classes with equal groups meet) and of the pairs its tree leaves every component
+proposes one, to the member with most partners; proposals are verified and
+linked components put together.  At last the trees of all groups that still hold
+two components give all their pairs.
+
+A group of more than ``BLOCK`` members is cut into blocks in the rounds.  At last
+its members are posted anew, under the rarest 0.2 n + 1 of all their shingles (the
+prefix filter, which loses no link either), so that a passage that many
+documents share brings nobody together; groups still too large go by pairs of
+blocks.  No round collects pairs or components on the driver.
 
 Defined results: null, empty and wordless texts have no shingles and stand
 alone; texts of one to four words have their whole sequence as one shingle;
@@ -30,19 +37,21 @@ table gives an empty result; very long texts are hashed in bounded spans.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.llm.staging import small_arrow_batches, staged
 from quarry.llm.textkit import slices, string_buffers, whole_hash, window_hashes, word_hashes, word_spans
 
 SHINGLE = 5
-KEYS = 48
 BITS = 2048
+#: Smaller sets link with equal ones only: the union of two others has five shingles at least.
+SMALLEST = 4
 ROUNDS = 3
 LEAF, FAN, BLOCK = 16, 8, 1024
 NUMERATOR, DENOMINATOR = 80, 100
@@ -64,8 +73,9 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
                 yield whole_hash(words[a:b]) if b > a else np.zeros(0, np.uint64)
 
 
-def _neighbour_keys(hashes: np.ndarray) -> np.ndarray:
-    return window_hashes(hashes[: KEYS + 1], 2).view(np.int64) if len(hashes) >= 4 else np.zeros(0, np.int64)
+def neighbour_keys(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the neighbouring pairs in the prefix that no link can do without."""
+    return window_hashes(hashes[: 2 * len(hashes) // 5 + 2], 2).view(np.int64) if len(hashes) >= SMALLEST else np.zeros(0, np.int64)
 
 
 def _bitmap(hashes: np.ndarray) -> bytes:
@@ -74,18 +84,37 @@ def _bitmap(hashes: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, rk, n, digest) of every row."""
     for batch in batches:
-        n, digests, keys, maps = [], [], [], []
+        n, digests = [], []
         for hashes in shingle_sets(batch.column(2)):
             n.append(len(hashes))
             digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
-            keys.append(_neighbour_keys(hashes))
-            maps.append(_bitmap(hashes) if len(hashes) else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
-            names=["doc_id", "rk", "n", "digest", "keys", "bitmap"],
-        )
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "rk", "n", "digest"])
+
+
+def _listed(hashes_of: Callable[[np.ndarray], np.ndarray]):
+    """(cid, key) for every hash that ``hashes_of`` makes of a class's sorted shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cids, texts = batch.column(0).to_numpy(), batch.column(1)
+            lists = [hashes_of(h) for h in shingle_sets(texts)]
+            owner = np.repeat(cids, [len(x) for x in lists])
+            keys = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+            for at in range(0, len(keys), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(owner[at : at + (1 << 18)]), pa.array(keys[at : at + (1 << 18)])], names=["cid", "key"])
+
+    return run
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, n, bitmap, text) of classes."""
+    for batch in batches:
+        sets = list(shingle_sets(batch.column(1)))
+        n, maps = pa.array([len(h) for h in sets], pa.int64()), pa.array([_bitmap(h) for h in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), n, maps, batch.column(1)], names=["cid", "n", "bitmap", "text"])
 
 
 def _enough(overlap: np.ndarray | int, x: np.ndarray | int, y: np.ndarray | int):
@@ -181,42 +210,51 @@ class SignatureTree:
         return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _tree_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of every (key, left, right) group of rows sorted by group."""
+def _proposals(x: np.ndarray, y: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (x, y) one for every component, to the member with most partners: (head, member, partners)."""
+    degree = np.bincount(np.concatenate([x, y]), minlength=len(comp))
+    member, head = np.concatenate([x, y]), np.concatenate([y, x])
+    order = np.lexsort((-head, degree[head], comp[member]))
+    member, head = member[order], head[order]
+    last = np.flatnonzero(np.r_[comp[member][1:] != comp[member][:-1], True])
+    return head[last], member[last], degree[head[last]]
+
+
+def _tree_groups(every: bool):
+    """Pairs from the tree of each (key, left, right) group of rows sorted by group; ``every`` one, or proposals."""
+    names = ["a", "b"] if every else ["a", "b", "comp", "v"]
 
     def joined(rows: pa.Table) -> pa.RecordBatch | None:
         cid, size, comp, own = (rows.column(c).to_numpy() for c in ("cid", "n", "comp", "own"))
-        key, left, right = (rows.column(c)[0].as_py() for c in ("key", "left", "right"))
         maps = np.frombuffer(b"".join(rows.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         x, y = SignatureTree(size, maps, comp).pairs()
-        if left != right:  # pairs within a block belong to that block's own group
+        if rows.column("left")[0].as_py() != rows.column("right")[0].as_py():  # pairs within a block belong to that block's own group
             apart = own[x] != own[y]
             x, y = x[apart], y[apart]
         if not len(x):
             return None
-        used, lists = np.unique(np.concatenate([x, y])), rows.column("keys")
-        keys = dict(zip(used.tolist(), (np.array(k, np.int64) for k in lists.take(pa.array(used)).to_pylist()), strict=True))
-        below = {i: k[k < key] for i, k in keys.items()}
-        first = np.array([not len(np.intersect1d(below[a], below[b], assume_unique=True)) if len(below[a]) and len(below[b]) else True for a, b in zip(x.tolist(), y.tolist(), strict=True)], bool)
-        x, y = x[first], y[first]
-        if not len(x):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[x], cid[y])), pa.array(np.maximum(cid[x], cid[y]))], names=["a", "b"])
-
-    rest: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if rest is not None:
-            table = pa.concat_tables([rest, table])
-        marks = np.stack([table.column(c).to_numpy() for c in ("key", "left", "right")])
-        cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
-        edges = np.concatenate(([0], cuts))
-        for k in range(len(edges) - 1):
-            if (out := joined(table.slice(edges[k], edges[k + 1] - edges[k]))) is not None:
-                yield out
-        rest = table.slice(edges[-1]) if table.num_rows else None
-    if rest is not None and rest.num_rows and (out := joined(rest)) is not None:
-        yield out
+        if every:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[x], cid[y])), pa.array(np.maximum(cid[x], cid[y]))], names=names)
+        head, member, votes = _proposals(x, y, comp)
+        return pa.RecordBatch.from_arrays([pa.array(cid[head]), pa.array(cid[member]), pa.array(comp[member]), pa.array(votes)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            marks = np.stack([table.column(c).to_numpy() for c in ("key", "left", "right")])
+            cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+            edges = np.concatenate(([0], cuts))
+            for k in range(len(edges) - 1):
+                if (out := joined(table.slice(edges[k], edges[k + 1] - edges[k]))) is not None:
+                    yield out
+            rest = table.slice(edges[-1]) if table.num_rows else None
+        if rest is not None and rest.num_rows and (out := joined(rest)) is not None:
+            yield out
+
+    return run
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -240,9 +278,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    one, two = (texts.select(F.col("cid").alias(side), F.col("text").alias(f"t{side}")) for side in "ab")
-    rows = pairs.join(two.hint("merge"), "b").join(one.hint("merge"), "a").select("a", "b", "ta", "tb")
+def _links(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose texts link, verified on whole texts."""
+    one, two = (known.select(F.col("cid").alias(side), F.col("text").alias(f"t{side}")) for side in "ab")
+    rows = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
     return staged(rows.mapInArrow(_verify, "a long, b long"), "links")
 
 
@@ -253,7 +292,87 @@ def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
     side = lambda c: comps.select(F.col("cid").alias(c), F.col("comp").alias(f"c{c}"))
     edges = links.join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     roots = connected_components(edges)
-    return staged(comps.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("cid", F.coalesce("root", "comp").alias("comp"), "hub"), "comps")
+    return staged(comps.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("cid", F.coalesce("root", "comp").alias("comp")), "comps")
+
+
+def _grouped(posted: DataFrame) -> DataFrame:
+    """(key, cid) of the keys with two members or more; of keys with equal members the least alone."""
+    shared = posted.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("s"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("x")).where("m >= 2")
+    return posted.join(shared.groupBy("m", "s", "x").agg(F.min("key").alias("key")).select("key"), "key")
+
+
+def _apart(groups: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, cid, comp, m): members of the groups that still hold two components, and the groups' sizes."""
+    members = groups.join(comps, "cid")
+    apart = members.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "m")
+    return members.join(apart, "key").select("key", "cid", "comp", "m")
+
+
+def _trees(rows: DataFrame, known: DataFrame, every: bool) -> DataFrame:
+    """Pairs from the trees over ``rows`` (key, left, right, own, cid, comp)."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = rows.join(known.select("cid", "n", "bitmap"), "cid").select("key", "left", "right", "own", "cid", "comp", "n", "bitmap")
+    dealt = full.repartition(parts, "key", "left", "right").sortWithinPartitions("key", "left", "right")
+    return dealt.mapInArrow(_tree_groups(every), "a long, b long" if every else "a long, b long, comp long, v long")
+
+
+def _proposed(groups: DataFrame, comps: DataFrame, known: DataFrame, turn: int) -> DataFrame:
+    """At most one pair (a, b) for every component, from the trees of the groups that its members stay in."""
+    block = F.pmod(F.xxhash64("cid", F.lit(turn)), F.ceil(F.col("m") / BLOCK)).cast("int")
+    stays = F.min_by(F.struct("key", "comp", "m"), F.xxhash64("key", F.lit(turn))).alias("stay")
+    rows = _apart(groups, comps).groupBy("cid").agg(stays).select("cid", "stay.*")
+    trees = _trees(rows.select("key", block.alias("left"), block.alias("right"), block.alias("own"), "cid", "comp"), known, every=False)
+    return trees.groupBy("comp").agg(F.max(F.struct("v", "a", "b")).alias("best")).select("best.a", "best.b")
+
+
+def _rare_groups(hot: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, cid): the classes in ``hot`` (cid) posted under the rarest 0.2 n + 1 of their shingles."""
+    shingles = staged(known.join(hot, "cid").select("cid", "text").mapInArrow(_listed(lambda h: h.view(np.int64)), "cid long, key long"), "shingles")
+    spread = shingles.groupBy("key").agg(F.count("*").alias("spread")).where("spread >= 2")
+    rarest = Window.partitionBy("cid").orderBy("spread", "key")
+    size = known.select("cid", F.floor(F.col("n") / 5).alias("alone"))
+    own = shingles.groupBy("cid").agg(F.count("*").alias("all"))
+    met = shingles.join(spread, "key").withColumn("place", F.row_number().over(rarest)).join(own, "cid").join(size, "cid")
+    # Shingles of one class alone come first in its order and bring nobody together: they only use up places.
+    met = met.withColumn("met", F.count("*").over(Window.partitionBy("cid")))
+    return _grouped(met.where(F.col("place") + F.col("all") - F.col("met") <= F.col("alone") + 1).select("key", "cid"))
+
+
+def _all_pairs(groups: DataFrame, comps: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the trees of all groups with two components leave."""
+    apart = staged(_apart(groups, comps), "apart")
+    large = F.col("m") > BLOCK
+    hot = apart.where(large).select("cid").distinct()
+    rows = apart.where(~large)
+    if not hot.isEmpty():
+        rows = rows.unionByName(_apart(staged(_rare_groups(hot, known), "rare"), comps))
+    rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "cid", "comp")
+    return _trees(rows, known, every=True).distinct()
+
+
+class _Classes:
+    """Rows of documents, their classes of equal sets, and the groups of classes that may link."""
+
+    def __init__(self, docs: DataFrame, text: str):
+        small_arrow_batches(docs.sparkSession)
+        body = docs.select("doc_id", docs[text].cast("string").alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text")
+        id_type = body.schema["doc_id"].dataType.simpleString()
+        self.rows = staged(body.mapInArrow(_sized, f"doc_id {id_type}, rk long, n long, digest binary"), "sized")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("least")
+        classes = self.rows.where("digest IS NOT NULL").groupBy("digest").agg(least, F.first("n").alias("n"), F.count("*").alias("copies"))
+        self.classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+        wanted = self.classes.where(F.col("n") >= SMALLEST).select("cid", "least.rk")
+        # Rows that share a row key are equal rows, so any one of them serves.
+        texts = staged(body.join(wanted.hint("merge"), "rk").groupBy("rk", "cid").agg(F.first("text").alias("text")).select("cid", "text"), "texts")
+        posted = texts.mapInArrow(_listed(neighbour_keys), "cid long, key long")
+        self.groups = staged(_grouped(posted), "groups")
+        involved = self.groups.select("cid").distinct()
+        self.known = staged(texts.join(involved, "cid").select("cid", "text").mapInArrow(_signed, "cid long, n long, bitmap binary, text string"), "known")
+
+    def alone(self) -> DataFrame:
+        return self.known.select("cid", F.col("cid").alias("comp"))
 
 
 def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -262,59 +381,34 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     ``rk`` is a row key (hash of id and text); ``component_rk`` is that of the
     component's smallest row, ids first and then keys.
     """
-    small_arrow_batches(docs.sparkSession)
-    body = docs.select("doc_id", docs[text].cast("string").alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text")
-    id_type = body.schema["doc_id"].dataType.simpleString()
-    rows = staged(body.mapInArrow(_describe, f"doc_id {id_type}, rk long, n long, digest binary, keys array<long>, bitmap binary"), "shingled")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk"))
-    classes = staged(
-        rows.where("digest IS NOT NULL").groupBy("digest").agg(least.alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bitmap").alias("bitmap"))
-        .withColumn("cid", F.monotonically_increasing_id()),
-        "classes",
-    )
-    posted = classes.select("cid", F.explode("keys").alias("key"))
-    shared_keys = posted.groupBy("key").agg(F.count("*").alias("m")).where("m >= 2")
-    groups = staged(posted.join(shared_keys.hint("merge"), "key"), "groups")
-    involved = staged(groups.groupBy("cid").agg(F.sum("m").alias("hub")), "involved")
-    wanted = involved.select("cid").join(classes.select("cid", "least.rk"), "cid")
-    # Rows that share a row key are equal rows, so any one of them serves.
-    texts = staged(body.join(wanted.hint("merge"), "rk").groupBy("rk", "cid").agg(F.first("text").alias("text")).select("cid", "text"), "texts")
-    comps = involved.select("cid", F.col("cid").alias("comp"), "hub")
-    for k in range(ROUNDS):
-        comps = _merge(comps, _links(_star_pairs(groups, comps, F.xxhash64("cid", F.lit(k)) if k else F.col("hub")), texts))
-    comps = _merge(comps, _links(_tree_pairs(groups, comps, classes), texts))
-    labelled = classes.select("digest", "cid", "least").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    own = _Classes(docs, text)
+    comps = own.alone()
+    for turn in range(ROUNDS):
+        comps = _merge(comps, _links(_proposed(own.groups, comps, own.known, turn), own.known))
+    comps = _merge(comps, _links(_all_pairs(own.groups, comps, own.known), own.known))
+    labelled = own.classes.select("digest", "cid", "least").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     tops = labelled.groupBy("comp").agg(F.min("least").alias("top"))
     named = labelled.join(tops, "comp").select("digest", F.col("top.doc_id").alias("component_id"), F.col("top.rk").alias("component_rk"))
-    return rows.join(named.hint("merge"), "digest", "left").select(
+    return own.rows.join(named.hint("merge"), "digest", "left").select(
         "doc_id", "rk", F.col("n").alias("n_shingles"),
         F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("component_rk", "rk").alias("component_rk"),
     )
 
 
-def _apart(groups: DataFrame, comps: DataFrame, rank: Column) -> DataFrame:
-    """Members of the groups that still hold two components, with the group's member of highest rank."""
-    members = staged(groups.join(comps, "cid"), "members")
-    ranked = F.max(F.struct(rank.alias("rank"), "cid", "comp")).alias("head")
-    heads = members.groupBy("key").agg(ranked, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    return members.join(heads.select("key", "head").hint("merge"), "key")
-
+def jaccard_links(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(a, b, copies_a, copies_b): every link between two different shingle sets, by the least id of each.
 
-def _star_pairs(groups: DataFrame, comps: DataFrame, rank: Column) -> DataFrame:
-    """For every component that isn't its groups' head's, one pair: the head it is proposed to most often."""
-    votes = _apart(groups, comps, rank).where("comp <> head.comp").select(F.col("head.cid").alias("a"), "cid", "comp").groupBy("a", "cid", "comp").agg(F.count("*").alias("v"))
-    best = votes.groupBy("comp").agg(F.max(F.struct("v", "a", "cid")).alias("best"))
-    return best.select(F.col("best.a").alias("a"), F.col("best.cid").alias("b"))
+    This is the join itself; a group of m near copies has up to m (m - 1) / 2 links.
+    """
+    own = _Classes(docs, text)
+    links = _links(_all_pairs(own.groups, own.alone(), own.known), own.known)
+    side = lambda c: own.classes.select(F.col("cid").alias(c), F.col("least.doc_id").alias(f"id_{c}"), F.col("copies").alias(f"copies_{c}"))
+    return links.join(side("a"), "a").join(side("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "copies_a", "copies_b")
 
 
-def _tree_pairs(groups: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs from the signature trees of all groups that still hold two components."""
-    rows = _apart(groups, comps, F.col("hub")).select("key", "cid", "comp", "m").join(classes.select("cid", "n", "bitmap", "keys"), "cid")
-    n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "cid", "comp", "n", "bitmap", "keys")
-    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = rows.repartition(int(parts), "key", "left", "right").sortWithinPartitions("key", "left", "right")
-    return dealt.mapInArrow(_tree_groups, "a long, b long").distinct()
+def link_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, n_links): for the least id of every class that links, with how many rows it links, its own copies included."""
+    links = jaccard_links(docs, text)
+    ends = links.select(F.col("a").alias("doc_id"), F.col("copies_a").alias("own"), F.col("copies_b").alias("n")).unionByName(links.select(F.col("b").alias("doc_id"), F.col("copies_b").alias("own"), F.col("copies_a").alias("n")))
+    return ends.groupBy("doc_id").agg((F.sum("n") + F.max("own") - 1).alias("n_links"))

@@ -119,15 +119,60 @@ def test_signature_tree_keeps_every_link():
     assert links and links <= found and len(found) < 4 * len(links)
 
 
-def test_neighbour_keys_of_small_sets_cover_all_links():
+def test_neighbour_keys_cover_links_at_their_worst():
+    """One set lacks every second of the other's first hashes, as many as a link allows."""
+    for n in range(5, 600):
+        whole = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(1 << 40)
+        for left_out in {n // 5, max(0, n // 5 - 1)}:
+            for first in (0, 1):
+                part = np.delete(whole, np.arange(first, first + 2 * left_out, 2)[:left_out])
+                if len(part) < n and 100 * len(part) >= 80 * n:
+                    assert set(jaccard_join.neighbour_keys(whole).tolist()) & set(jaccard_join.neighbour_keys(part).tolist())
+
+
+def test_jaccard_links_are_all_pairs(spark, near_copies):
+    docs = spark.createDataFrame(near_copies, "doc_id long, text string")
+    sets = {}
+    for i, t in near_copies:
+        if shingles(t):
+            sets.setdefault(shingles(t), []).append(i)
+    want = {(min(p), min(q)): (len(p), len(q)) for a, p in sets.items() for b, q in sets.items() if a != b and 100 * len(a & b) >= 80 * len(a | b)}
+    rows = jaccard_join.jaccard_links(docs).collect()
+    assert len(rows) * 2 == len(want) > 0
+    assert all(want[r.a, r.b] == (r.copies_a, r.copies_b) for r in rows)
+    counts = {r.doc_id: r.n_links for r in jaccard_join.link_counts(docs).collect()}
+    for p in sets.values():
+        n = sum(want[min(p), j][1] for i, j in want if i == min(p))
+        assert counts.get(min(p), 0) == (n + len(p) - 1 if n else 0)
+
+
+def test_jaccard_with_a_passage_that_many_share(spark, monkeypatch):
+    """Groups beyond a block are posted anew under rare shingles; links within them stay."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    passage = rng.choices(vocabulary, k=120)
+    rows = []
+    for i in range(150):
+        own = rng.choices(vocabulary, k=60)
+        rows.append(" ".join(passage + own))
+        if i % 5 == 0:
+            rows.append(" ".join([*passage, *own[:-3], "x", "y", "z"]))
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == components(rows)
+
+
+def test_neighbour_keys_cover_random_links():
     rng = random.Random(2)
     for _ in range(3000):
-        union = sorted(rng.sample(range(1 << 40), rng.randint(5, 40)))
+        union = sorted(rng.sample(range(1 << 40), rng.randint(5, 400)))
         apart = rng.sample(union, len(union) // 5)
         a = [x for x in union if x not in apart[::2]]
         b = [x for x in union if x not in apart[1::2]]
         if 100 * len(set(a) & set(b)) >= 80 * len(union) and a != b:
-            ka, kb = (set(jaccard_join._neighbour_keys(np.array(s, np.uint64)).tolist()) for s in (a, b))
+            ka, kb = (set(jaccard_join.neighbour_keys(np.array(s, np.uint64)).tolist()) for s in (a, b))
             assert ka & kb
 
 
