@@ -7,8 +7,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quarry.plans.driver_oracles import ORACLES
-from quarry.plans.driver_queries import QUERIES
+from quarry.plans import driver_oracles, driver_queries, function_queries
+
+ORACLES = driver_oracles.ORACLES | function_queries.ORACLES
+QUERIES = driver_queries.QUERIES | function_queries.QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
