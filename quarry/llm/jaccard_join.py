@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.staging import small_arrow_batches, staged
+from quarry.llm.staging import free_shuffles, small_arrow_batches, staged
 from quarry.llm.textkit import slices, string_buffers, whole_hash, window_hashes, word_hashes, word_spans
 
 SHINGLE = 5
@@ -295,10 +295,20 @@ def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
     return staged(comps.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("cid", F.coalesce("root", "comp").alias("comp")), "comps")
 
 
-def _grouped(posted: DataFrame) -> DataFrame:
-    """(key, cid) of the keys with two members or more; of keys with equal members the least alone."""
-    shared = posted.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("s"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("x")).where("m >= 2")
-    return posted.join(shared.groupBy("m", "s", "x").agg(F.min("key").alias("key")).select("key"), "key")
+def _shared(posted: DataFrame) -> DataFrame:
+    """The rows of ``posted`` (cid, key) whose key another class has too.
+
+    A semi-join of the table with itself: both sides are one exchange, and of a
+    hot key the left rows are split.
+    """
+    one, other = posted.alias("one"), posted.hint("merge").alias("other")  # never broadcast: it outgrows its texts
+    return one.join(other, (F.col("one.key") == F.col("other.key")) & (F.col("one.cid") != F.col("other.cid")), "left_semi")
+
+
+def _grouped(shared: DataFrame) -> DataFrame:
+    """(key, cid) of ``shared`` without all keys of equal members but the least."""
+    sets = shared.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("s"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("x"))
+    return shared.join(sets.groupBy("m", "s", "x").agg(F.min("key").alias("key")).select("key"), "key")
 
 
 def _apart(groups: DataFrame, comps: DataFrame) -> DataFrame:
@@ -335,7 +345,8 @@ def _rare_groups(hot: DataFrame, known: DataFrame) -> DataFrame:
     met = shingles.join(spread, "key").withColumn("place", F.row_number().over(rarest)).join(own, "cid").join(size, "cid")
     # Shingles of one class alone come first in its order and bring nobody together: they only use up places.
     met = met.withColumn("met", F.count("*").over(Window.partitionBy("cid")))
-    return _grouped(met.where(F.col("place") + F.col("all") - F.col("met") <= F.col("alone") + 1).select("key", "cid"))
+    posted = staged(met.where(F.col("place") + F.col("all") - F.col("met") <= F.col("alone") + 1).select("key", "cid"), "rarest")
+    return _grouped(staged(_shared(posted), "shared"))
 
 
 def _all_pairs(groups: DataFrame, comps: DataFrame, known: DataFrame) -> DataFrame:
@@ -366,8 +377,9 @@ class _Classes:
         wanted = self.classes.where(F.col("n") >= SMALLEST).select("cid", "least.rk")
         # Rows that share a row key are equal rows, so any one of them serves.
         texts = staged(body.join(wanted.hint("merge"), "rk").groupBy("rk", "cid").agg(F.first("text").alias("text")).select("cid", "text"), "texts")
-        posted = texts.mapInArrow(_listed(neighbour_keys), "cid long, key long")
-        self.groups = staged(_grouped(posted), "groups")
+        free_shuffles(docs.sparkSession)
+        self.groups = staged(_grouped(staged(_shared(texts.mapInArrow(_listed(neighbour_keys), "cid long, key long")), "shared")), "groups")
+        free_shuffles(docs.sparkSession)
         involved = self.groups.select("cid").distinct()
         self.known = staged(texts.join(involved, "cid").select("cid", "text").mapInArrow(_signed, "cid long, n long, bitmap binary, text string"), "known")
 
