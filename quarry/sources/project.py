@@ -19,7 +19,8 @@ def scan(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     # binaryFile keeps a file's last newline, which the text reader drops.
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    return files.select(F.regexp_replace("path", f"^.*?{re.escape(base)}/", "").alias("path"), F.decode("content", "UTF-8").alias("text"))
+    # Bytes that aren't UTF-8 become the replacement character; the file keeps its row.
+    return files.select(F.regexp_replace("path", f"^.*?{re.escape(base)}/", "").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def in_memory(spark: SparkSession, files: dict[str, str]) -> DataFrame:
@@ -47,13 +48,65 @@ def parsed(files: DataFrame) -> DataFrame:
                 try:
                     nodes, uses = parse(text)
                     rows.append({"path": path, "nodes": nodes, "uses": uses, "error": None})
-                except RecursionError as e:  # a file nested too deep is a row with an error, not a lost job
+                except Exception as e:  # noqa: BLE001 - whatever one file does to the parser is a row with an error, not a lost job
                     rows.append({"path": path, "nodes": [], "uses": [], "error": type(e).__name__})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return files.select("path", "text").mapInArrow(run, schema)
 
 
+def analysed(files: DataFrame) -> DataFrame:
+    """(path, facts, issues, error): the semantic facts and style issues of each script, one Arrow pass.
+
+    A file that can't be analysed is a row with an error and no facts.
+    """
+    from quarry.sources import semantics, style, syntax
+
+    fact = T.StructType.fromDDL(semantics.FACT_SCHEMA)
+    issue = T.StructType.fromDDL("rule string, line int, col int, message string")
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("facts", T.ArrayType(fact)), T.StructField("issues", T.ArrayType(issue)), T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    tree = syntax.script(text)
+                    facts = [dict(zip(fact.names, f, strict=True)) for f in semantics.Analysis(text, tree).facts]
+                    issues = [dict(zip(issue.names, i, strict=True)) for i in style.issues(text, tree)]
+                    rows.append({"path": path, "facts": facts, "issues": issues, "error": None})
+                except Exception as e:  # noqa: BLE001
+                    rows.append({"path": path, "facts": [], "issues": [], "error": type(e).__name__})
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return files.select("path", "text").mapInArrow(run, schema)
+
+
+def syntax_rows(files: DataFrame) -> DataFrame:
+    """(path, pre, last, parent, depth, kind, value, ...): the whole syntax tree of each script."""
+    from quarry.sources import syntax
+
+    row = T.StructType.fromDDL(syntax.ROW_SCHEMA)
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("rows", T.ArrayType(row))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    found = syntax.rows(syntax.script(text))
+                except RecursionError:  # nested too deep: the file's row alone
+                    found = syntax.rows(syntax.Syn("ClassDeclaration", line=1, end_line=1))
+                yield pa.RecordBatch.from_pylist([{"path": path, "rows": [dict(zip(row.names, r, strict=True)) for r in found]}], schema=arrow)
+
+    return files.select("path", "text").mapInArrow(run, schema).select("path", F.inline("rows"))
+
+
 def nodes(parsed_files: DataFrame) -> DataFrame:
     return parsed_files.select("path", F.inline("nodes"))
 
@@ -79,7 +132,10 @@ def _attribute(name: str):
 
 
 def _headers(files: DataFrame, kind: str) -> DataFrame:
-    return sections(files).where(F.col("header").startswith(f"[{kind} ")).groupBy("path", "section", "header").agg(F.min("line").alias("line"), F.map_from_entries(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value")))).alias("props"))
+    """One row a section, with its pairs as a map; of a key that is there twice the last line counts."""
+    rows = sections(files).where(F.col("header").startswith(f"[{kind} "))
+    pairs = rows.groupBy("path", "section", "header", "key").agg(F.min("line").alias("line"), F.max_by("value", "line").alias("value"))
+    return pairs.groupBy("path", "section", "header").agg(F.min("line").alias("line"), F.map_from_entries(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value")))).alias("props"))
 
 
 def autoloads(settings: DataFrame) -> DataFrame:
