@@ -552,7 +552,7 @@ class Parser:
                 out.append(_make("AccessorDeclaration", None, [_leaf("InvalidToken", t) for t in ts]))
                 continue
             equal, colon = _cut(ts, {"="}), _cut(ts, {":"})
-            if equal >= 0:
+            if equal >= 0 and (colon < 0 or equal < colon):
                 out.append(_make(f"{name}AccessorMethodDeclaration", ts[equal + 1].text if equal + 1 < len(ts) else None, [], *ts))
             else:
                 params = _Expressions(ts[1:], self.depth).parameters()
