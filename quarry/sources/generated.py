@@ -173,6 +173,69 @@ func _used(amount: int) -> void:
 func _unused(spare) -> void:
 	pass
 """
+#: A second script of every supplier, with what security, flow and suppression reports look for.
+RISKY = """extends Node
+# gdlint:disable = unused-variable
+const Other = preload("res://s/{k}.gd")
+var target: Node2D = null
+
+
+func _ready():
+	self.ready.connect(on_ready)
+	OS.execute("rm", [])
+	target.show()
+	if target != null:
+		target.hide()
+	greet("me")
+	greet("you")
+
+
+func on_ready():
+	var file = load("user://" + user_path)
+	return file
+
+
+func greet(who):
+	var size: int = "big"
+	print(who, size)
+
+
+func measure(thing):
+	if thing is Node and thing.has_method("step"):
+		thing.step(1)
+	return 1
+	thing = null
+
+
+func spare():
+	var nothing = 1
+	var near = null
+	near.step()
+"""
+SETTINGS = """[application]
+
+config/name="Supplier {k}"
+config/features=PackedStringArray("4.5", "Forward Plus")
+
+[autoload]
+
+Global="*res://s/{k}.gd"
+Fade="res://GD4011/{k}.tscn"
+
+[input]
+
+jump_{k}={
+"deadzone": 0.5
+}
+"""
+RESOURCE = """[gd_resource type="Resource" script_class="S{k}" load_steps=2 format=3]
+
+[ext_resource type="Script" path="res://s/{k}.gd" id="1"]
+
+[resource]
+script = ExtResource("1")
+balance = 3.5
+"""
 SCENE = """[gd_scene load_steps=3 format=3]
 
 [ext_resource type="Script" path="res://GD4011/{k}.gd" id="1"]
@@ -228,6 +291,11 @@ def scene_files(suppliers: DataFrame) -> DataFrame:
     return some.select(F.concat(F.lit("GD4011/"), F.col("k").cast("string"), F.lit(".tscn")).alias("path"), _filled(SCENE).alias("text"))
 
 
+def texts(suppliers: DataFrame, template: str, folder: str, suffix: str) -> DataFrame:
+    """(path, text): one text for every supplier."""
+    return suppliers.select(F.concat(F.lit(f"{folder}/"), F.col("k").cast("string"), F.lit(suffix)).alias("path"), _filled(template).alias("text"))
+
+
 def expected(features: list[Feature], column: str) -> str:
     """SQL of (path, column, n): what the features say has to be found, over the supplier table."""
     rows = ", ".join(f"({i % TURNS}, '{f.name}', '{code}', {n})" for i, f in enumerate(features) for code, n in f.found.items())

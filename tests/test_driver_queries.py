@@ -7,10 +7,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quarry.plans import driver_oracles, driver_queries, function_queries, project_queries
+from quarry.plans import code_oracles, code_queries, driver_oracles, driver_queries, function_queries, project_queries
 
-ORACLES = driver_oracles.ORACLES | function_queries.ORACLES | project_queries.ORACLES
-QUERIES = driver_queries.QUERIES | function_queries.QUERIES | project_queries.QUERIES
+ORACLES = driver_oracles.ORACLES | function_queries.ORACLES | project_queries.ORACLES | code_oracles.ORACLES
+QUERIES = driver_queries.QUERIES | function_queries.QUERIES | project_queries.QUERIES | code_queries.QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
