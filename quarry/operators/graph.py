@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,17 +38,111 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, rounds)
 
 
-def in_cycle(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves."""
-    return closure(edges).where("src = dst").select(F.col("src").alias("node")).distinct()
-
-
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node that a node reaches and is reached by; nodes outside cycles stand alone."""
-    reach = staged(closure(edges).select("src", "dst"), "reach")
-    both = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"]).groupBy("src").agg(F.min("dst").alias("least"))
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return nodes.join(both.withColumnRenamed("src", "node"), "node", "left").select("node", F.least("node", F.coalesce("least", "node")).alias("component"))
+#: Up to so many edges components are found in one task, whose memory they bound.
+LOCAL_EDGES = 1_000_000
+
+
+def _components_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges of a task: one depth-first walk without recursion."""
+    found = list(batches)
+    if not found:
+        return
+    src, dst = (pa.chunked_array([b.column(k) for b in found]).combine_chunks() for k in (0, 1))
+    names = pa.concat_arrays([src, dst]).dictionary_encode()
+    codes = names.indices.to_numpy(zero_copy_only=False)
+    heads, tails = codes[: len(src)], codes[len(src) :]
+    n = len(names.dictionary)
+    order = np.argsort(heads, kind="stable")
+    after, first = tails[order], np.searchsorted(heads[order], np.arange(n + 1))
+    index, low, component = np.full(n, -1), np.zeros(n, np.int64), np.full(n, -1)
+    count, stack, place = 0, [], first[:-1].copy()
+    for start in range(n):
+        if index[start] >= 0:
+            continue
+        walk = [start]
+        while walk:
+            v = walk[-1]
+            if index[v] < 0:
+                index[v] = low[v] = count
+                count += 1
+                stack.append(v)
+            if place[v] < first[v + 1]:
+                w = after[place[v]]
+                place[v] += 1
+                if index[w] < 0:
+                    walk.append(w)
+                elif component[w] < 0:
+                    low[v] = min(low[v], index[w])
+                continue
+            walk.pop()
+            if low[v] == index[v]:
+                while True:
+                    w = stack.pop()
+                    component[w] = v
+                    if w == v:
+                        break
+            if walk:
+                low[walk[-1]] = min(low[walk[-1]], low[v])
+    nodes = names.dictionary.to_pylist()
+    least: dict[int, object] = {}
+    for node, c in zip(nodes, component.tolist()):
+        if c not in least or node < least[c]:
+            least[c] = node
+    kind = src.type
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([least[c] for c in component.tolist()], kind)], names=["node", "component"])
+
+
+def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(node, component): the least node of a node's strong component; nodes outside cycles stand alone.
+
+    Small graphs go through one task; others by trimming and colours: nodes
+    without an edge in or out are alone; the rest takes the least node that
+    reaches it as its colour, and what of a colour reaches its node back is a
+    component.  Rows stay linear in the edges.
+    """
+    e = staged(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct(), "edges")
+    kind = e.schema["src"].dataType.simpleString()
+    if e.count() <= local_edges:
+        return e.repartition(1).mapInArrow(_components_of, f"node {kind}, component {kind}")
+    every = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    done: list[DataFrame] = []
+    left = staged(e.where("src <> dst"), "left")
+    while not left.isEmpty():
+        core = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        core = staged(core.select("src", "dst"), "left")
+        if core.count() < left.count():
+            left = core
+            continue
+        colour = staged(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")), "colour")
+        while True:
+            into = left.join(colour.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("near"))
+            step = staged(colour.join(into, "node", "left").select("node", "colour", F.least("colour", F.coalesce("near", "colour")).alias("less")), "colour")
+            colour = step.select("node", F.col("less").alias("colour"))
+            if step.where("less <> colour").isEmpty():
+                break
+        same = left.join(colour.select(F.col("node").alias("src"), "colour"), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("other")), "dst").where("colour = other").select("src", "dst", "colour")
+        same = staged(same, "same")
+        reached = staged(colour.where("node = colour"), "reached")
+        back = reached
+        while not back.isEmpty():
+            step = same.join(back.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+            back = staged(step.join(reached, ["node", "colour"], "left_anti"), "back")
+            reached = staged(reached.unionByName(back), "reached")
+        done.append(reached)
+        gone = reached.select("node")
+        left = staged(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"), "left")
+    if not done:
+        return every.withColumn("component", F.col("node"))
+    named = reduce(DataFrame.unionByName, done).select("node", F.col("colour").alias("component"))
+    return every.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def in_cycle(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """Nodes that reach themselves: of components of two or more, or with an edge to themselves."""
+    parts = strong_components(edges, local_edges)
+    large = parts.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    loops = edges.where("src = dst").select(F.col("src").alias("node"))
+    return parts.join(large, "component", "left_semi").select("node").unionByName(loops).distinct()
 
 
 def levels(edges: DataFrame) -> DataFrame:
