@@ -311,6 +311,62 @@ def test_toxicity_learns(net):
     assert (predicted == labels).mean() > 0.95
 
 
+def plain_score(net, text):
+    """A text's score word by word, window by window, step by step."""
+    data, starts, ends, first = toxicity._tokens(*textkit.string_buffers(pa.array([text], pa.large_string())))
+    words = []
+    for a, b in zip(starts, ends):
+        hashes = textkit.word_hashes(data, np.array([a]), np.array([b]), lower=False)
+        own, grams = toxicity._gram_lists(data, np.array([a]), np.array([b]))
+        chars = sum((net.params["gram"][g] for g in grams), np.zeros(toxicity.CHAR_DIM)) / max(1.0, np.sqrt(len(grams)))
+        words.append(np.concatenate([net.params["word"][net.word_ids(hashes)[0]], chars]))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    H, logits, at = toxicity.HIDDEN, [], 0
+    while True:
+        window, states = words[at : at + toxicity.WINDOW], {}
+        for way in "fb":
+            h = np.zeros(H)
+            for t in range(len(window)) if way == "f" else reversed(range(len(window))):
+                x, g = net.params[f"x{way}"] @ window[t] + net.params[f"b{way}"], net.params[f"u{way}"] @ h
+                z, r = sigmoid(x[:H] + g[:H]), sigmoid(x[H : 2 * H] + g[H : 2 * H])
+                h = z * h + (1 - z) * np.tanh(x[2 * H :] + r * g[2 * H :])
+                states[way, t] = h
+        pooled = np.zeros(2 * H)
+        if window:
+            both = np.stack([np.concatenate([states["f", t], states["b", t]]) for t in range(len(window))])
+            e = np.exp(both @ net.params["attend"] - (both @ net.params["attend"]).max())
+            pooled = (e / e.sum()) @ both
+        logits.append(net.params["out"] @ pooled + net.params["bias"][0])
+        if at + toxicity.WINDOW >= len(words):
+            break
+        at += toxicity.STRIDE
+    prob, n = [sigmoid(x) for x in logits], len(logits)
+    features = [1, max(logits), np.log1p(sum(prob)), sum(prob) / n, sum(p > 0.5 for p in prob) / n, np.log(n)]
+    return sigmoid(np.dot(features, net.text_weights) + net.offset)
+
+
+def test_toxicity_scores_are_those_of_plain_steps(net):
+    texts = [*toxic_texts(12, 7)[0], "", "   ", "one", "wörd " * 90, "a b c " * 40 + "Élan"]
+    assert np.allclose(net.score(pa.array(texts)), [plain_score(net, t) for t in texts], atol=2e-4)
+
+
+def test_toxicity_held_out_accuracy(tables):
+    """Trained on the rows that may be learned from, scored on the others, of the smallest tables that have enough."""
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    folder = tables.replace("sf0.001", "sf0.1")
+    docs = {r["doc_id"]: r["text"] for r in pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    rows = [(r["doc_id"], r["toxic"]) for r in pq.read_table(f"{folder}/labels.parquet").to_pylist() if r["doc_id"] in docs]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    own, other = [r for r in rows if not held(r[0])], [r for r in rows if held(r[0])]
+    net = toxicity.train([docs[i] for i, _ in own], np.array([y for _, y in own]), steps=300)
+    score, label = net.score(pa.array([docs[i] for i, _ in other])), np.array([y for _, y in other])
+    better = (score[label == 1][:, None] > score[label == 0][None, :]).mean()
+    assert better > 0.95 and (score[label == 1] >= 0.7).mean() > 0.8 and (score[label == 0] >= 0.7).mean() < 0.05
+
+
 def test_toxicity_gradients():
     net = toxicity.Network.fresh(np.zeros(0, np.uint64), 1)
     net.params = {k: v.astype(np.float64) for k, v in net.params.items()}
