@@ -4,7 +4,8 @@ Writing decides by payload digest which record is the response: of payloads of
 at least ``MIN_REVISIT`` bytes that are equal, the smallest id's; the others
 are revisits that refer to it.  Archives of about ``archive_bytes`` are binary
 cells of a staged table, so they are written and read through Spark's own
-file systems alone; files can be read with ``spark.read.format("binaryFile")``.
+file systems alone; ``export_archives`` makes files of them that other tools
+open, and ``open_archives`` reads such files.
 
 Reading feeds fixed-size chunks to an incremental zlib decompressor, frames
 records by Content-Length, holds a member to exactly one record, and verifies
@@ -20,18 +21,24 @@ archive; a long page is one record.
 from __future__ import annotations
 
 import hashlib
+import io
+import pathlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
+from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.staging import small_arrow_batches, staged
 
 MIN_REVISIT = 100
 CHUNK = 1 << 16
+#: Records that one batch of the reader holds.
+RECORDS = 256
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _WITH_ID, _WITHOUT_ID = 0x7175617272790001, 0x7175617272790000
@@ -106,9 +113,15 @@ def parse_record(data: bytearray) -> tuple[dict[str, str], memoryview]:
     return fields, block
 
 
-def read_archive(data: bytes) -> Iterator[dict]:
-    """The page records of an archive, verified, in order."""
-    for member in members(data[at : at + CHUNK] for at in range(0, len(data), CHUNK)):
+def chunks_of(source: bytes | BinaryIO) -> Iterator[bytes]:
+    """An archive's bytes, or an open file's, ``CHUNK`` at a time."""
+    stream = io.BytesIO(source) if isinstance(source, bytes) else source
+    return iter(lambda: stream.read(CHUNK), b"")
+
+
+def read_archive(source: bytes | BinaryIO) -> Iterator[dict]:
+    """The page records of an archive or open archive file, verified, in order; one record is held at a time."""
+    for member in members(chunks_of(source)):
         fields, block = parse_record(member)
         kind = fields["warc-type"]
         if kind not in ("response", "revisit"):
@@ -151,8 +164,9 @@ def _reader(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column(0):
-                records = list(read_archive(archive.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in records], t) for k, t in kinds.items()], names=list(kinds))
+                records = read_archive(archive.as_py())
+                while some := list(islice(records, RECORDS)):  # one archive's records a few at a time
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in some], t) for k, t in kinds.items()], names=list(kinds))
 
     return run
 
@@ -173,3 +187,27 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
     small_arrow_batches(archives.sparkSession)
     tail = ", payload binary" if with_payload else ""
     return archives.select("archive").mapInArrow(_reader(with_payload), f"page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long{tail}")
+
+
+def export_archives(archives: DataFrame, folder: str) -> None:
+    """Write each archive as a ``.warc.gz`` file into a folder that all executors mount; other tools read these.
+
+    A file is named by its content and put in place whole, so a task that runs
+    twice leaves one file.
+    """
+
+    def write(rows: Iterator) -> None:
+        target = pathlib.Path(folder.removeprefix("file://"))
+        target.mkdir(parents=True, exist_ok=True)
+        for row in rows:
+            name = hashlib.sha256(row.archive).hexdigest()[:32]
+            part = target / f".{name}.{uuid.uuid4().hex}"
+            part.write_bytes(row.archive)
+            part.replace(target / f"{name}.warc.gz")
+
+    archives.select("archive").foreachPartition(write)
+
+
+def open_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """The ``.warc.gz`` files of a folder as a table of archives (column ``archive``)."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select(F.col("content").alias("archive"))

@@ -106,6 +106,22 @@ def test_warc_reader_notices_damage():
         list(warc.read_archive(two))
 
 
+def test_warc_files(spark, tmp_path):
+    """Archives as files: whole gzip members to other tools, streamed by the reader, the same after a second run."""
+    archives = warc.write_archives(pages(spark), archive_bytes=2000)
+    for _ in range(2):
+        warc.export_archives(archives, str(tmp_path))
+    files = sorted(tmp_path.iterdir())
+    assert len(files) == archives.count() and all(f.name.endswith(".warc.gz") and gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1") for f in files)
+    found = 0
+    for f in files:
+        with f.open("rb") as stream:
+            found += sum(1 for _ in warc.read_archive(stream))
+    assert found == pages(spark).count()
+    again = warc.read_archives(warc.open_archives(spark, str(tmp_path)))
+    assert sorted(map(str, again.collect())) == sorted(map(str, warc.read_archives(archives).collect()))
+
+
 def test_html_main_text():
     f = html_text.main_text
     page = '<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a href="/x">Menu</a></nav><div class="ad">Buy</div><article><header><h1>He<b>ad</b></h1></header><p>One &amp;amp; two\n three<br>four<p>Short</p><aside>Side</aside><!-- <p>no</p> --><form>f</form><p>&eacute;&#233; x</p><div id="comments">rude</div></article><footer>&copy; end</footer>'
