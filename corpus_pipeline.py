@@ -4,9 +4,13 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``documents``.  ``run`` writes each stage as Parquet
 into the shared folder and reads it back for the next.
 
-Columns beside those of ``documents`` pass through the filtering stages; rows
-with a null or repeated id are rows like others.  Where line dedup changes a
-text, ``n_chars`` is its new length.
+Columns beside those of ``documents`` pass through the filtering stages, also
+where their names are those of results; rows with a null or repeated id are
+rows like others.  A null or empty text scores as an empty text, fails the base
+quality rule and goes there.  Where line dedup changes a text, ``n_chars`` is
+its new length.  Of near duplicates the row of the least id stays, of equal ids
+that of the least row key, of equal rows one.  Very long texts are rows like
+others; an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
