@@ -9,8 +9,9 @@ bounded, so no source, copy group or long document can fill a task.
 
 Ids are those of the ``tokenizers`` library for the given file.  Texts of code
 points below U+0250 without a special token are encoded by ``tiktoken`` with
-the same vocabulary, which gives the same ids several times as fast; all other
-texts by ``tokenizers`` itself.
+the same vocabulary, which gives the same ids several times as fast (a test
+compares both on every pair of these code points next to letters, digits and
+white space); all other texts by ``tokenizers`` itself.
 
 Defined results: a null or empty text is the single id 1; rows that repeat an
 id are packed each; an empty table packs into nothing; extra columns are not

@@ -13,7 +13,8 @@ the base rule; one very long text is walked in bounded spans; equal rows get
 equal answers; without labels (or with one class only) the list is empty and
 only the base rule rejects; the input row travels in the struct ``doc`` so
 that column names cannot clash; labels with a null id are left out and of
-several labels of an id the lowest holds.
+several labels of an id the lowest holds; of rows that repeat a labelled id one
+is learned from; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ the score of that; equal texts get equal scores; one very long text is walked
 in bounded blocks of windows; labels with a null id or value are left out;
 without both classes in the training rows every score is the share of
 positives (0 without rows); the input row travels in the struct ``doc`` so
-that column names cannot clash.
+that column names cannot clash; rows that repeat an id are rows like others;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
