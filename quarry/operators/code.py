@@ -69,16 +69,18 @@ class SymbolFilter:
         return reduce(lambda a, b: a & b, tests)
 
 
-def method_metrics(nodes: DataFrame, uses: DataFrame) -> DataFrame:
+def method_metrics(nodes: DataFrame, uses: DataFrame, compat: bool = False) -> DataFrame:
     """Per method: complexity, nesting, parameters, locals, returns, lines and index.
 
     Cyclomatic complexity counts if, elif, loops, cases beyond a match's first,
     boolean operators and ternaries; cognitive complexity adds the nesting.
+    ``compat`` gives the figures of reports that never add it: each structure
+    counts one and nesting is 0 or 1.
     """
     kind, one = F.col("kind"), F.lit(1)
     inside = nodes.where("method_id IS NOT NULL").groupBy("path", "method_id").agg(
         F.sum(F.when(kind.isin("if", "elif", "for", "while"), one).when((kind == "case") & (F.col("position") > 0), one).otherwise(0)).alias("branches"),
-        F.sum(F.when(kind.isin("if", "for", "while", "match"), one + F.col("depth")).when(kind.isin("elif", "else"), one).otherwise(0)).alias("structure"),
+        F.sum(F.when(kind.isin("if", "for", "while", "match"), one if compat else one + F.col("depth")).when(kind.isin("elif", "else"), one).otherwise(0)).alias("structure"),
         F.max(F.col("depth")).alias("deepest"), F.count_if((kind == "var") & F.array_contains("modifiers", "local")).alias("locals"), F.count_if(kind == "return").alias("returns"),
     )
     words = uses.where("role = 'operator' AND name IN ('and', 'or', 'if', '&&', '||')").join(nodes.select("path", "node_id", F.coalesce("method_id", F.when(kind == "func", F.col("node_id"))).alias("method_id")), ["path", "node_id"]).groupBy("path", "method_id").agg(F.count("*").alias("words"))
@@ -86,6 +88,7 @@ def method_metrics(nodes: DataFrame, uses: DataFrame) -> DataFrame:
     rows = methods.join(inside, ["path", "method_id"], "left").join(words, ["path", "method_id"], "left")
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     rows = rows.select("path", "method_id", "method", "start_line", F.col("parameters").cast("long").alias("parameters"), F.col("loc").cast("long").alias("loc"), (1 + count("branches") + count("words")).alias("cyclomatic"), (count("structure") + count("words")).alias("cognitive"), F.greatest(count("deepest") - F.col("own_depth"), F.lit(0)).alias("nesting"), count("locals").alias("locals"), count("returns").alias("returns"))
+    rows = rows.withColumn("nesting", F.least("nesting", F.lit(1).cast(rows.schema["nesting"].dataType))) if compat else rows
     return rows.withColumn("maintainability", F.round(maintainability_index(F.col("loc"), F.col("cyclomatic"), F.col("cognitive")), 6))
 
 
@@ -139,16 +142,22 @@ def dependencies(nodes: DataFrame, uses: DataFrame, scenes: DataFrame | None = N
     return edges.distinct()
 
 
-def dependency_report(edges: DataFrame) -> DataFrame:
-    """Per file: direct fan-out, transitive dependents, and whether it is on a cycle."""
-    reach = graph.closure(edges.select("src", "dst"))
+def dependency_report(edges: DataFrame, transitive: bool = True) -> DataFrame:
+    """Per file: direct fan-out, dependents (transitive, as project reports count them, or direct), and whether it is on a cycle."""
+    into_edges = graph.closure(edges.select("src", "dst")) if transitive else edges.select("src", "dst").distinct()
     nodes_ = edges.select(F.explode(F.array("src", "dst")).alias("path")).distinct()
     out = edges.select("src", "dst").distinct().groupBy(F.col("src").alias("path")).agg(F.count("*").alias("fan_out"))
-    into = reach.groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("fan_in"))
-    ring = reach.where("src = dst").select(F.col("src").alias("path"), F.lit(True).alias("in_cycle")).distinct()
+    into = into_edges.groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("fan_in"))
+    ring = graph.in_cycle(edges.select("src", "dst")).select(F.col("node").alias("path"), F.lit(True).alias("in_cycle"))
     return nodes_.join(out, "path", "left").join(into, "path", "left").join(ring, "path", "left").fillna({"fan_out": 0, "fan_in": 0, "in_cycle": False})
 
 
+def most_coupled(edges: DataFrame, most: int = 10) -> DataFrame:
+    """(path, fan_out, fan_in, coupling): the files with most direct edges, ties by path."""
+    ends = graph.degrees(edges).withColumnRenamed("node", "path").withColumn("coupling", F.col("fan_out") + F.col("fan_in"))
+    return ends.orderBy(F.desc("coupling"), "path").limit(most)
+
+
 def call_sites(nodes: DataFrame, uses: DataFrame) -> DataFrame:
     """(path, caller, target_class, target, line, col, receiver): calls with the class they are known to go to ("*": any)."""
     s = scripts(nodes).select("path", F.lower(F.coalesce("type_name", F.regexp_extract("path", r"([^/]+)\.gd$", 1))).alias("own"), F.lower("base").alias("up"))
@@ -211,10 +220,11 @@ def dead_code(nodes: DataFrame, uses: DataFrame, connections: DataFrame | None =
     return dead.select("path", "kind", "name", "line", "col", F.when(public, "FPA").otherwise(F.col("reason")).alias("reason"), F.when(public | F.col("reason").isin("FDT", "VEX", "VOR", "ENU"), "Potential").otherwise("Strict").alias("confidence"))
 
 
-def unreachable(nodes: DataFrame) -> DataFrame:
-    """Statements after a return, break or continue among their siblings."""
+def unreachable(nodes: DataFrame, compat: bool = False) -> DataFrame:
+    """Statements after a return, break or continue among their siblings; ``compat``: at a method's top level alone."""
     ends = nodes.where(F.col("kind").isin(TERMINATORS)).groupBy("path", "parent_id").agg(F.min("position").alias("cut"))
-    return nodes.join(ends, ["path", "parent_id"]).where("position > cut").select("path", F.col("start_line").alias("line"), "kind")
+    found = nodes.join(ends, ["path", "parent_id"]).where("position > cut")
+    return (found.where("parent_id = method_id") if compat else found).select("path", F.col("start_line").alias("line"), "kind")
 
 
 def todo_tags(files: DataFrame, tags: tuple[str, ...] = ("TODO", "FIXME", "HACK", "NOTE", "BUG", "XXX")) -> DataFrame:

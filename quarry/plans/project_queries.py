@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import code, commands, diagnostics, liveness, refactor, rules, views
+from quarry.operators import code, commands, diagnostics, duplicates, liveness, refactor, rules, views
 from quarry.sources import generated, project, settings
 from quarry.staging import staged
 
@@ -435,3 +435,69 @@ def custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csharp_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = spark.createDataFrame([], "name string, target string, singleton boolean, kind string")
     return settings.csharp_index(_own(spark, sf_dir), none, project.scene_nodes(_scenes(spark, sf_dir)))
+
+
+# --- duplicates over tokens, couplings, groupings --------------------------------------------------------
+
+_TOKENS = "('_ready', 32), ('base_{k}', 9), ('make', 10), ('_used', 45), ('_unused', 9)"
+
+
+@_query(_each(f"{_K.format('col0')} AS method, col1 AS n_tokens", _TOKENS))
+def method_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens each method has, comments and blanks left out."""
+    return project.method_tokens(_own(spark, sf_dir)).select("path", "method", F.size("tokens").alias("n_tokens"))
+
+
+@_query("SELECT col0 AS n_tokens, count(*) AS instances FROM supplier, (VALUES (32), (9), (10), (45), (9)) AS v GROUP BY col0 HAVING count(*) > 1")
+def dup_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods that are equal but for names, texts and numbers, by their number of tokens."""
+    methods = project.method_tokens(_own(spark, sf_dir)).select(F.size("tokens").alias("n_tokens"), duplicates.block_hash(F.array_join("tokens", " ")).alias("hash"))
+    return methods.groupBy("n_tokens", "hash").agg(F.count("*").alias("n")).groupBy("n_tokens").agg(F.sum("n").alias("instances")).where("instances > 1")
+
+
+@_query(_each("'_used' AS method, 6::BIGINT AS windows", "(0)"))
+def dup_token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of forty tokens in each method that has so many."""
+    methods = project.method_tokens(_own(spark, sf_dir))
+    windows = duplicates.token_windows(methods, ["path", "method"], "tokens", 40)
+    again = duplicates.exact_duplicates(windows).select("hash")
+    return windows.join(again, "hash").groupBy("path", "method").agg(F.count("*").alias("windows"))
+
+
+@_query("SELECT *, (fan_out + fan_in)::BIGINT AS coupling FROM (SELECT 's/'||(s_suppkey)||'.gd' AS path, (CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 1 END)::BIGINT AS fan_out, (1 + CASE WHEN s_suppkey % 5 < 4 AND s_suppkey < top THEN 1 ELSE 0 END)::BIGINT AS fan_in FROM supplier, (SELECT max(s_suppkey) AS top FROM supplier)) ORDER BY coupling DESC, path LIMIT 10")
+def most_coupled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scripts with most direct dependencies both ways: each extends the one before it and is preloaded once."""
+    suppliers = generated.keys(spark, sf_dir)
+    files = generated.own_files(suppliers).unionByName(generated.texts(suppliers, generated.RISKY, "r", ".gd"))
+    parsed = staged(project.parsed(files), "parsed")
+    return code.most_coupled(code.dependencies(project.nodes(parsed), project.uses(parsed)))
+
+
+@_query(_each(f"{_K.format('col0')} AS method, col1 AS cognitive, col2 AS nesting", "('_ready', 0, 0), ('base_{k}', 0, 0), ('make', 0, 0), ('_used', 4, 1), ('_unused', 0, 0)"))
+def method_metrics_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics as reports give them that never add nesting."""
+    _, nodes, uses = _parsed(spark, sf_dir)
+    return code.method_metrics(nodes, uses, compat=True).select("path", "method", "cognitive", "nesting")
+
+
+@_query("SELECT lang, source, count(*) AS n, count(DISTINCT n_chars) AS lengths FROM documents GROUP BY CUBE (lang, source)")
+def cube_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.cube("lang", "source").agg(F.count("*").alias("n"), F.count_distinct("n_chars").alias("lengths"))
+
+
+@_query("SELECT lang, source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
+def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count("*").alias("n"))
+
+
+@_query(_each("col0 AS kind, col1 AS type, col2::BIGINT AS n", "('CallExpression', 'Variant', 1), ('CallExpression', 'Array[int]', 1), ('CallExpression', 'int', 1), ('CallExpression', 'void', 4), ('DualOperatorExpression', 'bool', 4), ('DualOperatorExpression', 'int', 1), ('MemberOperatorExpression', 'int', 2)"))
+def expression_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many expressions of each kind have which type."""
+    return diagnostics.of_kind(_own_facts(spark, sf_dir), "expression").groupBy("path", F.col("owner").alias("kind"), "type").agg(F.count("*").alias("n"))
+
+
+@_query(_each("1::BIGINT AS unknown, 13::BIGINT AS known", "(0)"))
+def inference_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.inference_report(_own_facts(spark, sf_dir))

@@ -107,6 +107,26 @@ def syntax_rows(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInArrow(run, schema).select("path", F.inline("rows"))
 
 
+def method_tokens(files: DataFrame) -> DataFrame:
+    """(path, method, line, tokens): each method's tokens with names, texts and numbers as classes; comments and blanks left out."""
+    from quarry.sources import syntax
+    from quarry.sources.script_parser import KEYWORDS, tokens
+
+    classes = {"string": "$STR", "number": "$NUM", "node": "$STR"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = [t for t in tokens(text or "") if t.kind not in ("space", "newline", "comment", "join")]
+                for m in (n for n in syntax.script(text).walk() if n.kind == "MethodDeclaration"):
+                    own = [t for t in found if (m.line, m.col) <= (t.line, t.col) < (m.end_line, m.end_col)]
+                    rows.append((path, m.value, m.line, [classes.get(t.kind) or ("$ID" if t.kind == "name" and t.text not in KEYWORDS else t.text) for t in own]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.list_(pa.string()))], names=["path", "method", "line", "tokens"])
+
+    return files.select("path", "text").mapInArrow(run, "path string, method string, line int, tokens array<string>")
+
+
 def nodes(parsed_files: DataFrame) -> DataFrame:
     return parsed_files.select("path", F.inline("nodes"))
 
