@@ -332,7 +332,8 @@ def _proposed(groups: DataFrame, comps: DataFrame, known: DataFrame, turn: int)
     stays = F.min_by(F.struct("key", "comp", "m"), F.xxhash64("key", F.lit(turn))).alias("stay")
     rows = _apart(groups, comps).groupBy("cid").agg(stays).select("cid", "stay.*")
     trees = _trees(rows.select("key", block.alias("left"), block.alias("right"), block.alias("own"), "cid", "comp"), known, every=False)
-    return trees.groupBy("comp").agg(F.max(F.struct("v", "a", "b")).alias("best")).select("best.a", "best.b")
+    best = trees.groupBy("comp").agg(F.max(F.struct("v", "a", "b")).alias("best"))
+    return best.select(F.least("best.a", "best.b").alias("a"), F.greatest("best.a", "best.b").alias("b")).distinct()
 
 
 def _rare_groups(hot: DataFrame, known: DataFrame) -> DataFrame:
