@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import catalogue
+from quarry.operators import graph
 from quarry.operators.code import ENGINE_CALLBACKS
 from quarry.operators.diagnostics import Model, of_kind
 from quarry.sources.semantics import ENGINE
@@ -307,6 +308,76 @@ def inference_report(facts: DataFrame) -> DataFrame:
     return of_kind(facts, "expression").groupBy("path").agg(F.sum((kind == "known").cast("int")).alias("known"), F.sum((kind == "unknown").cast("int")).alias("unknown"))
 
 
+def initialised(facts: DataFrame, methods: tuple[str, ...] = ("_init", "_ready", "_enter_tree")) -> DataFrame:
+    """(path, name, method, how): members that lifecycle methods set, on every way through or on some."""
+    rows = of_kind(facts, "assign").where((F.col("owner") == "member") & F.col("method").isin(*methods))
+    return rows.groupBy("path", "name", "method").agg(F.max("detail").alias("how"))
+
+
+def ready_safe(model: Model) -> DataFrame:
+    """(path, method, safe): whether a method runs only after the script is ready: all its callers do, or the engine calls it then.
+
+    A method is unsafe if one that may run early reaches it by calls; what
+    nobody in the project calls may be called at any time.
+    """
+    late = [c for c, k in CALLBACK_KINDS.items() if k in ("process", "input", "draw")] + ["_ready"]
+    own = model.members.where("member = 'func' AND at = path").select("path", F.col("name").alias("method"))
+    calls = inference_dependencies(model).select(F.concat_ws("\n", "path", "method").alias("src"), F.concat_ws("\n", "target_path", "target").alias("dst"))
+    node = own.select("path", "method", F.concat_ws("\n", "path", "method").alias("node"))
+    called = calls.where("src <> dst").select(F.col("dst").alias("node")).distinct()
+    early = node.join(called, "node", "left_anti").where(~F.col("method").isin(late)).select("node").unionByName(node.where(F.col("method").isin("_init", "_enter_tree", "_static_init")).select("node"))
+    reached = graph.closure(calls, early).select(F.col("dst").alias("node")).unionByName(early).distinct().withColumn("early", F.lit(True))
+    return node.join(reached, "node", "left").select("path", "method", (F.col("early").isNull() | F.col("method").isin(late)).alias("safe"))
+
+
+def instantiations(facts: DataFrame) -> DataFrame:
+    """(path, method, instantiated, added, scripted, freed): what methods do with nodes."""
+    kinds = {"instantiated": "instantiate", "added": "add_child", "scripted": "set_script", "freed": "queue_free"}
+    rows = of_kind(facts, "call").where(F.col("name").isin(*kinds.values()) & F.col("method").isNotNull())
+    return rows.groupBy("path", "method").agg(*[F.count_if(F.col("name") == name).alias(k) for k, name in kinds.items()])
+
+
+def script_groups(facts: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(group, members): groups that scripts join in code and, with scene nodes, in scenes."""
+    rows = of_kind(facts, "group").select(F.col("name").alias("group"))
+    if nodes is not None:
+        rows = rows.unionByName(nodes.select(F.explode("groups").alias("group")))
+    return rows.groupBy("group").agg(F.count("*").alias("members"))
+
+
+def reflection_sites(facts: DataFrame) -> DataFrame:
+    """(path, method, line, list, receiver, in_loop): where scripts list members at run time."""
+    return of_kind(facts, "reflection").select("path", "method", "line", F.col("name").alias("list"), F.col("owner").alias("receiver"), F.col("detail").isNotNull().alias("in_loop"))
+
+
+def named_calls(facts: DataFrame) -> DataFrame:
+    """(path, name, receiver, by, line): methods named by texts, by call, Callable or Expression."""
+    return of_kind(facts, "dynamic_call").select("path", "name", F.col("owner").alias("receiver"), F.col("detail").alias("by"), "line")
+
+
+def node_types(facts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(path, line, node, type): the types that scenes give to the node paths and unique names of their scripts."""
+    attached = nodes.where("script IS NOT NULL").select(F.substring("script", 7, 4096).alias("path"), F.col("path").alias("scene"), F.col("node_path").alias("root"))
+    inside = attached.join(nodes.select(F.col("path").alias("scene"), "node_path", "name", "type", "is_unique"), "scene")
+    below = F.when(F.col("root") == ".", F.col("node_path")).when(F.startswith("node_path", F.concat("root", F.lit("/"))), F.expr("substring(node_path, length(root) + 2)"))
+    paths = inside.select("path", below.alias("name"), "type", F.lit("node_path").alias("kind")).where("name IS NOT NULL").unionByName(inside.where("is_unique").select("path", "name", "type", F.lit("unique_node").alias("kind")))
+    return of_kind(facts, "node_path", "unique_node").select("path", "name", "kind", "line").join(paths.distinct(), ["path", "name", "kind"]).select("path", "line", F.col("name").alias("node"), "type")
+
+
+def container_provenance(facts: DataFrame) -> DataFrame:
+    """(path, method, name, step, line, type): what is put into each container, in order."""
+    order = Window.partitionBy("path", "method", "name").orderBy("line", "col")
+    return of_kind(facts, "element").select("path", "method", "name", F.row_number().over(order).alias("step"), "line", "type")
+
+
+def lambdas(rows: DataFrame) -> DataFrame:
+    """(path, line, parameters, in_call): lambdas, and whether they are handed to a call."""
+    own = rows.where("kind = 'MethodExpression'")
+    above = rows.select("path", F.col("pre").alias("parent"), F.col("kind").alias("up"))
+    params = rows.where("kind = 'ParameterDeclaration'").join(rows.where("kind = 'ParametersList'").select("path", F.col("pre").alias("parent"), F.col("parent").alias("lambda")), ["path", "parent"]).groupBy("path", F.col("lambda").alias("pre")).agg(F.count("*").alias("parameters"))
+    return own.join(above, ["path", "parent"], "left").join(params, ["path", "pre"], "left").select("path", "line", F.coalesce("parameters", F.lit(0)).alias("parameters"), (F.col("up") == "ExpressionsList").alias("in_call"))
+
+
 # --- syntax and editor lookups --------------------------------------------------------------------
 
 

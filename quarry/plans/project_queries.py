@@ -501,3 +501,67 @@ def expression_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_each("1::BIGINT AS unknown, 13::BIGINT AS known", "(0)"))
 def inference_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.inference_report(_own_facts(spark, sf_dir))
+
+
+# --- how things are wired -----------------------------------------------------------------------------------
+
+
+def _wired(columns: str, rows: str) -> str:
+    return f"SELECT 'wired/'||s_suppkey||'.gd' AS path, {columns} FROM supplier, (VALUES {rows}) AS v WHERE {_turn('wired')}"
+
+
+def _wired_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = generated.feature_files(generated.keys(spark, sf_dir), generated.FINDINGS).where("path LIKE 'wired/%'")
+    return staged(project.analysed(files).select("path", F.inline("facts")), "facts")
+
+
+@_query(_wired("col0 AS name, '_ready' AS method, col1 AS how", "('_set', 'unconditional'), ('_maybe', 'conditional')"))
+def initialised_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.initialised(_wired_facts(spark, sf_dir))
+
+
+@_query(_wired("col0 AS method, col1 AS safe", "('_ready', true), ('_late', true), ('_by_name', false), ('_by_text', false)"))
+def ready_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.ready_safe(diagnostics.Model(_wired_facts(spark, sf_dir)))
+
+
+@_query(_wired("col0 AS name, 'self' AS receiver, col1 AS by, col2 AS line", "('_by_name', 'Callable', 14), ('_by_text', 'Expression', 16)"))
+def named_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.named_calls(_wired_facts(spark, sf_dir))
+
+
+@_query(_wired("'_by_name' AS method, 26 AS line, 'get_method_list' AS list, 'self' AS receiver, false AS in_loop", "(0)"))
+def reflection_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.reflection_sites(_wired_facts(spark, sf_dir))
+
+
+@_query(f"SELECT 'g'||s_suppkey AS \"group\", 1::BIGINT AS members FROM supplier WHERE {_turn('wired')}")
+def script_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.script_groups(_wired_facts(spark, sf_dir))
+
+
+@_query(_wired("'_by_text' AS method, 1::BIGINT AS instantiated, 1::BIGINT AS added, 0::BIGINT AS scripted, 0::BIGINT AS freed", "(0)"))
+def instantiations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.instantiations(_wired_facts(spark, sf_dir))
+
+
+@_query(_wired("'_late' AS method, '_list' AS name, col0 AS step, col1 AS line, col2 AS type", "(1, 21, 'Variant'), (2, 22, 'String')"))
+def container_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.container_provenance(_wired_facts(spark, sf_dir))
+
+
+@_query(_wired("33 AS line, 1::BIGINT AS parameters, true AS in_call", "(0)"))
+def lambdas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = generated.feature_files(generated.keys(spark, sf_dir), generated.FINDINGS).where("path LIKE 'wired/%'")
+    return views.lambdas(project.syntax_rows(files))
+
+
+@_query(f"SELECT 'GD4011/'||s_suppkey||'.gd' AS path, col0 AS line, col1 AS node, col2 AS type FROM supplier, (VALUES (5, 'Here', 'Timer'), (6, 'Here/Below', 'Node'), (8, 'Unique', 'Node')) AS v WHERE {_turn('GD4011')}")
+def scene_node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types that scenes give to their scripts' node paths."""
+    return views.node_types(_feature_facts(spark, sf_dir), project.scene_nodes(_scenes(spark, sf_dir)))
+
+
+@_query(_each("col0 AS method, col1 AS name, col2 AS step, col3 AS line, col4 AS type", "('_used', 'i', 1, 30, 'int'), ('_used', 'amount', 1, 29, 'int'), ('make', 'given', 1, 25, 'Variant'), ('_unused', 'spare', 1, 38, 'Variant'), ('_ready', '_count', 1, 15, 'int')"))
+def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.provenance(_own_facts(spark, sf_dir))

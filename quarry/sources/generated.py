@@ -104,6 +104,7 @@ FINDINGS: list[Feature] = [
     _f("GD9001", "class A:\n\tfunc go() -> void:\n\t\tpass\n\n\nfunc f() -> void:\n\tA.go()\n"),
     Feature("across", "func f(o: S0) -> void:\n\to.base_0(1)\n\to.gone()\n\tprint(o.missing)\n\tS0.base_0()\n", {"GD4001": 1, "GD4002": 1, "GD3009": 1, "GD9001": 1}),
     Feature("guarded", 'func f(a):\n\tif a is String:\n\t\tprint(a.to_upper())\n\tif a.has_method("go"):\n\t\ta.go()\n\n\nfunc g() -> void:\n\tvar n: Node = null\n\tif n == null:\n\t\treturn\n\tprint(n.name)\n', {}),
+    Feature("wired", "extends Node\n\nvar _set\nvar _maybe\nvar _list: Array\n\n\nfunc _ready() -> void:\n\t_set = 1\n\tif is_inside_tree():\n\t\t_maybe = 2\n\tadd_to_group(\"g{k}\")\n\t_late()\n\tvar c = Callable(self, \"_by_name\")\n\tvar e = Expression.new()\n\te.parse(\"_by_text(1)\")\n\tprint(c, e)\n\n\nfunc _late() -> void:\n\t_list.append(_set)\n\t_list.append(\"x\")\n\n\nfunc _by_name() -> void:\n\tfor m in get_method_list():\n\t\tprint(m)\n\n\nfunc _by_text(a: int) -> void:\n\tvar n = preload(\"res://s/{k}.gd\").instantiate()\n\tadd_child(n)\n\tprint([1].map(func(x): return x), a)\n", {}, whole=True),
     Feature("docs", "## Says hello.\n## Twice.\nfunc hello() -> void:\n\tpass\n\n\n@dynamic_use\nfunc _asked() -> void:\n\tpass\n", {}),
     Feature("loops", "func f(a: Array[int]) -> int:\n\tvar total := 0\n\tfor x in a:\n\t\tif x > 3:\n\t\t\tcontinue\n\t\ttotal += x\n\twhile total > 9:\n\t\ttotal -= 1\n\t\tif total == 5:\n\t\t\tbreak\n\tmatch total:\n\t\t1:\n\t\t\treturn 1\n\t\t_:\n\t\t\treturn total\n", {}),
 ]
