@@ -756,13 +756,192 @@ def written(node: Syn) -> str:
         return f"{parts[0]}[{parts[1] if len(parts) > 1 else ''}]"
     if kind == "IfExpression":
         return f"{parts[0]} if {parts[1] if len(parts) > 1 else ''} else {parts[2] if len(parts) > 2 else ''}"
+    if kind == "YieldExpression":
+        return f"yield{''.join(parts)}"
     if kind == "AwaitExpression":
         return f"await {''.join(parts)}"
     if kind == "ReturnExpression":
         return f"return {''.join(parts)}".rstrip()
+    if kind == "MethodExpression":
+        return _lambda(node, 0)
+    if kind == "MatchCaseVariableExpression":
+        return f"var {node.value}"
     return node.value or " ".join(parts)
 
 
+# --- writing whole trees ---------------------------------------------------------------------
+
+
+def _head(node: Syn) -> str:
+    """Parameters and result type of a method or lambda."""
+    params = node.child("ParametersList")
+    kind = next((c.value for c in node.children if c.kind.endswith("TypeNode")), None)
+    return f"({', '.join(_parameter(p) for p in params.children) if params else ''})" + (f" -> {kind}" if kind else "")
+
+
+def _typed(node: Syn) -> str:
+    """``: type = value`` of a variable or parameter."""
+    kind = next((c.value for c in node.children if c.kind.endswith("TypeNode")), None)
+    value = next((c for c in node.children if c.kind.endswith("Expression")), None)
+    mark = f": {kind}" if kind else ""
+    return mark + ("" if value is None else f" {':=' if 'inferred' in node.marks else '='} {written(value)}")
+
+
+def _parameter(node: Syn) -> str:
+    return f"{node.value}{_typed(node)}"
+
+
+def _simple(body: Syn | None) -> bool:
+    return body is None or all(c.kind in ("ExpressionStatement", "VariableDeclarationStatement") and not any(x.kind == "MethodExpression" for x in c.walk()) for c in body.children)
+
+
+def _lambda(node: Syn, depth: int) -> str:
+    body = node.child("StatementsList")
+    head = f"func{' ' + node.value if node.value else ''}{_head(node)}:"
+    if _simple(body):
+        return f"{head} " + ("; ".join(source(c) for c in body.children) if body and body.children else "pass")
+    inner = "\n".join(source(c, depth + 1) for c in body.children)
+    return f"{head}\n{inner}\n" + "\t" * depth
+
+
+def _block(node: Syn | None, depth: int) -> str:
+    return "\n".join(source(c, depth) for c in node.children) if node is not None and node.children else "\t" * depth + "pass"
+
+
+def source(node: Syn, depth: int = 0) -> str:
+    """A member, statement or whole script as code, indented by tabs."""
+    pad, kind = "\t" * depth, node.kind
+    marks = [c for c in node.children if c.kind in ("CustomAttribute", "ToolAttribute")]
+    lead = "".join(f"@{m.value}{written(m.children[0]) if m.children else ''} " for m in marks)
+    if kind == "ClassDeclaration":
+        return source(node.children[0], depth) + "\n" if node.children and node.children[0].children else ""
+    if kind == "ClassMembersList":
+        out = ""
+        for k, c in enumerate(node.children):
+            far = c.kind in ("MethodDeclaration", "InnerClassDeclaration") or (k and node.children[k - 1].kind in ("MethodDeclaration", "InnerClassDeclaration"))
+            out += ("\n\n\n" if far else "\n") * bool(k) + source(c, depth)
+        return out
+    if kind == "StatementsList":
+        return _block(node, depth)
+    words = {"ClassNameAttribute": "class_name", "ExtendsAttribute": "extends", "SignalDeclaration": "signal"}
+    if kind in words:
+        return f"{pad}{lead}{words[kind]} {node.value}" + (_head(node) if node.child("ParametersList") else "")
+    if kind in ("ToolAttribute", "CustomAttribute"):
+        return f"{pad}@{node.value}{written(node.children[0]) if node.children else ''}"
+    if kind == "EnumDeclaration":
+        values = [v.value + (f" = {written(v.children[1])}" if len(v.children) > 1 else "") for v in (node.child("EnumValuesList") or Syn("")).children]
+        return f"{pad}{lead}enum {node.value + ' ' if node.value else ''}{{ {', '.join(values)} }}"
+    if kind in ("VariableDeclaration", "VariableDeclarationStatement"):
+        word = "const" if "const" in node.marks else "static var" if "static" in node.marks else "var"
+        own = [c for c in node.children if "Accessor" in c.kind]
+        text = f"{pad}{lead}{word} {node.value}"
+        value = next((c for c in node.children if c.kind == "MethodExpression"), None)
+        text += f" = {_lambda(value, depth)}".rstrip("\t\n") if value is not None and not _simple(value.child("StatementsList")) else _typed(node)
+        for k, c in enumerate(own):
+            name = "get" if c.kind.startswith("Get") else "set"
+            if c.kind.endswith("MethodDeclaration"):
+                text += (":" if k == 0 else ",") + f" {name} = {c.value}"
+            else:
+                params = c.child("ParametersList")
+                text += ":" * (k == 0) + f"\n{pad}\t{name}{_head(c) if params is not None else ''}:\n{_block(c.child('StatementsList'), depth + 2)}"
+        return text
+    if kind == "MethodDeclaration":
+        body = node.child("StatementsList")
+        static = "static " if "static" in node.marks else ""
+        return f"{pad}{lead}{static}func {node.value}{_head(node)}" + (f":\n{_block(body, depth + 1)}" if body is not None or "abstract" not in node.marks else "")
+    if kind == "InnerClassDeclaration":
+        base = next((c.value for c in node.children if c.kind.endswith("TypeNode")), None)
+        return f"{pad}{lead}class {node.value}{' extends ' + base if base else ''}:\n" + (source(node.child("ClassMembersList"), depth + 1) if node.child("ClassMembersList") and node.child("ClassMembersList").children else pad + "\tpass")
+    if kind == "IfStatement":
+        out = f"{pad}if {written(node.children[0].children[0])}:\n{_block(node.children[0].child('StatementsList'), depth + 1)}"
+        for b in (node.child("ElifBranchesList") or Syn("")).children:
+            out += f"\n{pad}elif {written(b.children[0])}:\n{_block(b.child('StatementsList'), depth + 1)}"
+        last = node.child("ElseBranch")
+        return out + (f"\n{pad}else:\n{_block(last.child('StatementsList'), depth + 1)}" if last else "")
+    if kind == "WhileStatement":
+        return f"{pad}while {written(node.children[0])}:\n{_block(node.child('StatementsList'), depth + 1)}"
+    if kind == "ForStatement":
+        of = next((f": {c.value}" for c in node.children if c.kind.endswith("TypeNode")), "")
+        over = next((written(c) for c in node.children if c.kind.endswith("Expression")), "")
+        return f"{pad}for {node.value}{of} in {over}:\n{_block(node.child('StatementsList'), depth + 1)}"
+    if kind == "MatchStatement":
+        out = f"{pad}match {written(node.children[0])}:"
+        for c in (node.child("MatchCasesList") or Syn("")).children:
+            patterns = ", ".join(written(x) for x in c.children[0].children)
+            guard = next((f" when {written(x)}" for x in c.children[1:] if x.kind.endswith("Expression")), "")
+            out += f"\n{pad}\t{patterns}{guard}:\n{_block(c.child('StatementsList'), depth + 2)}"
+        return out
+    if kind == "ExpressionStatement":
+        e = node.children[0] if node.children else None
+        if e is not None and any(x.kind == "MethodExpression" and not _simple(x.child("StatementsList")) for x in e.walk()):
+            return pad + _deep(e, depth)
+        return pad + (written(e) if e is not None else "pass")
+    if kind == "PassDeclaration":
+        return pad + "pass"
+    return pad + written(node)
+
+
+def _deep(e: Syn, depth: int) -> str:
+    """An expression that holds lambdas of several lines."""
+    if e.kind == "MethodExpression":
+        return _lambda(e, depth)
+    if e.kind == "CallExpression":
+        return _deep(e.children[0], depth) + f"({', '.join(_deep(c, depth) for c in e.children[1].children)})"
+    if e.kind == "DualOperatorExpression" and e.value == "Assignment":
+        return f"{written(e.children[0])} = {_deep(e.children[1], depth)}".rstrip("\t\n")
+    return written(e)
+
+
+# --- parsing again -----------------------------------------------------------------------------
+
+
+def changes(old: str, new: str) -> tuple[int, int, int]:
+    """(first line, old lines, new lines) of the one stretch of lines that differs."""
+    a, b = old.split("\n"), new.split("\n")
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    return head + 1, len(a) - head - tail, len(b) - head - tail
+
+
+def _shift(node: Syn, by: int) -> Syn:
+    moved = Syn(node.kind, node.value, [_shift(c, by) for c in node.children], node.line + by if node.line else 0, node.col, node.end_line + by if node.line else 0, node.end_col, list(node.marks))
+    return moved
+
+
+def reparse(tree: Syn, old: str, new: str, most_changed: float = 0.5, most_members: int = 3) -> tuple[Syn, int]:
+    """(tree of the new text, members parsed again): members outside the changed lines are kept, those below move.
+
+    Everything is parsed again (-1) when more than a share of the lines or a
+    number of members change, or where that can't be told apart.
+    """
+    first, gone, come = changes(old, new)
+    if not gone and not come:
+        return tree, 0
+    members = tree.children[0].children if tree.children else []
+    last, by = first + gone - 1, come - gone
+    before = [m for m in members if m.end_line < first - 1]
+    after = [m for m in members if min([m.line, *[c.line for c in m.children if c.line]]) > last + 1]
+    touched = len(members) - len(before) - len(after)
+    total = max(old.count("\n"), new.count("\n")) + 1
+    if not members or max(gone, come) > most_changed * total or touched > most_members or not before:
+        return script(new), -1
+    lines = new.split("\n")
+    start = before[-1].end_line
+    stop = (after[0].line + by - 1) if after else len(lines)
+    middle = "\n" * start + "\n".join(lines[start:stop])
+    if any(q in middle for q in ('\"\"\"', "'''")) or next((x for x in lines[start:stop] if x.strip()), "")[:1] in (" ", "\t"):
+        return script(new), -1  # a text over lines, or lines that may belong to the member before
+    again = script(middle).children[0].children
+    if any(n.kind == "InvalidToken" for m in again for n in m.walk()) or (after and after[0].marks and after[0].kind != "MethodDeclaration"):
+        return script(new), -1
+    made = _make("ClassMembersList", None, [*before, *again, *(_shift(m, by) for m in after)])
+    return _span(Syn("ClassDeclaration", None, [made], 1, 0, 1, 0), made), len(again)
+
+
 ROW_SCHEMA = "pre int, last int, parent int, depth int, kind string, value string, marks array<string>, line int, col int, end_line int, end_col int, place int"
 
 

@@ -91,6 +91,44 @@ def test_tokens_of_nodes_and_walks(spark):
     assert [r.kind for r in rows.orderBy(F.desc("pre")).collect()] == order[::-1]
 
 
+def shape(tree):
+    return [(r[3], r[4], r[5], sorted(r[6])) for r in syntax.rows(tree)]
+
+
+SOURCES = [f.template().replace("{k}", "3") for f in [*generated.FINDINGS, *generated.STYLE] if "GD1" not in f.name and "GD6" not in f.name and f.name not in ("GD5003",)] + [generated.OWN.replace("{k}", "1").replace("{base}", "S0"), generated.RISKY.replace("{k}", "1")]
+
+
+@pytest.mark.parametrize("text", [*SOURCES, "class_name A\nextends B\n@export_range(0, 5) var x: int = 1: set = _s, get = _g\nvar y := 2:\n\tget:\n\t\treturn y\n\tset(v):\n\t\ty = v\n", "func f():\n\tx.c(func(a):\n\t\tif a:\n\t\t\tpass\n\t\treturn a\n\t)\n\tvar g = func(): return 1\n\tmatch [1, 2]:\n\t\t[var p, ..] when p:\n\t\t\tpass\n\t\t_:\n\t\t\treturn\n"])
+def test_trees_are_written_back(text):
+    tree = syntax.script(text)
+    again = syntax.source(tree)
+    assert shape(syntax.script(again)) == shape(tree)
+    assert syntax.source(syntax.script(again)) == again
+
+
+def test_reparse_is_a_parse():
+    import random
+
+    rng = random.Random(6)
+    text = "extends Node\n\nvar a = 1\n" + "".join(f"\n\nfunc f{i}(x):\n\tif x:\n\t\treturn {i}\n\treturn x\n" for i in range(12))
+    kept = 0
+    for _ in range(60):
+        lines = text.split("\n")
+        at = rng.randrange(len(lines))
+        kind = rng.random()
+        if kind < 0.4:
+            lines[at] = lines[at].replace("return", "print") + (" + 1" if "return" in lines[at] else "")
+        elif kind < 0.7:
+            lines.insert(at, rng.choice(["", "# note", "\tpass", "var z = 3", "func g():"]))
+        else:
+            del lines[at]
+        new = "\n".join(lines)
+        tree, n = syntax.reparse(syntax.script(text), text, new)
+        assert syntax.rows(tree) == syntax.rows(syntax.script(new)), (at, lines[max(0, at - 2) : at + 3])
+        kept += n >= 0
+    assert kept > 20 and syntax.reparse(syntax.script(text), text, text)[1] == 0
+
+
 # --- semantics --------------------------------------------------------------------------------------
 
 
