@@ -47,4 +47,26 @@ WITH code AS (
 SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
 """
 
-ORACLES = {"op2_hamming_topk": OP2, "op8_warc": OP8, "op10_line_dedup": OP10}
+OP1 = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), shingled AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')))) END AS s FROM doc
+), class AS (
+  SELECT min(doc_id) AS id, s, len(s) AS n FROM shingled WHERE len(s) > 0 GROUP BY s
+), post AS (
+  SELECT id, n, unnest(s) AS shingle FROM class
+), link AS (
+  SELECT a.id AS x, b.id AS y FROM post a JOIN post b ON a.shingle = b.shingle AND a.id <> b.id
+  GROUP BY a.id, b.id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach(x, y) AS (
+  SELECT id, id FROM class UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x
+), least_of AS (
+  SELECT x AS id, min(y) AS component FROM reach GROUP BY x
+)
+SELECT doc_id, len(shingled.s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id
+FROM shingled LEFT JOIN class ON class.s = shingled.s LEFT JOIN least_of USING (id)
+"""
+
+ORACLES = {"op1_jaccard_join": OP1, "op2_hamming_topk": OP2, "op8_warc": OP8, "op10_line_dedup": OP10}
