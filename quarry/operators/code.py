@@ -185,17 +185,22 @@ def dead_code(nodes: DataFrame, uses: DataFrame, connections: DataFrame | None =
     below = chain.join(names.select("path", F.col("own").alias("effective")), "path").select(F.col("ancestor_path").alias("path"), "effective")
     above = chain.join(names.select(F.col("path").alias("ancestor_path"), F.col("own").alias("effective")), "ancestor_path").select("path", "effective")
     effective = names.select("path", F.col("own").alias("effective")).unionByName(below).unionByName(above).distinct()
-    calls = call_sites(nodes, uses)
+    calls = call_sites(nodes, uses).where(~F.col("caller").eqNullSafe(F.col("target")))  # a method that calls itself has no caller by that
+    owner = nodes.select("path", "node_id", F.coalesce("method_id", F.when(F.col("kind") == "func", F.col("node_id"))).alias("m"))
+    heads = nodes.where("kind = 'func'").select("path", F.col("node_id").alias("m"), F.col("name").alias("inside"))
     key = s.select("path", "node_id", "kind", "name", "line", "col", "is_public", "modifiers", "method_id", F.lower("name").alias("key"))
     flag = lambda rows, name, keys: rows.select(*keys).distinct().withColumn(name, F.lit(True))
     called = key.where("kind = 'func'").join(effective, "path").join(calls.select(F.col("target_class").alias("effective"), F.col("target").alias("key")).distinct(), ["effective", "key"])
     duck = calls.where("target_class = '*'").select(F.col("target").alias("key"))
-    local = uses.where("role IN ('read', 'member', 'call', 'member_call', 'operator')").select("path", "name")
+    placed = uses.where("role IN ('read', 'member', 'call', 'member_call', 'operator')").join(owner, ["path", "node_id"]).join(heads, ["path", "m"], "left")
+    local = placed.where(~F.col("inside").eqNullSafe(F.col("name"))).select("path", "name")
+    in_method = placed.select("path", F.col("m").alias("method_id"), "name")
     members = uses.where("role IN ('member', 'member_call', 'write') AND receiver IS NOT NULL").select(F.lower("name").alias("key"), F.col("path").alias("other"))
     texts = uses.where("role = 'string'").select(F.lower(F.regexp_replace("name", "^[&^]?[\"']|[\"']$", "")).alias("key"))
     emitted = uses.where("role IN ('call', 'member_call') AND name IN ('emit', 'emit_signal', 'connect')").select(F.lower(F.coalesce(F.when(F.col("name") == "emit_signal", F.regexp_replace("argument", "[\"'&]", "")), "receiver")).alias("key"))
     rows = key.join(flag(called, "called", ["path", "node_id"]), ["path", "node_id"], "left")
     rows = rows.join(flag(duck, "duck", ["key"]), "key", "left").join(flag(local, "local", ["path", "name"]), ["path", "name"], "left")
+    rows = rows.join(flag(in_method, "in_method", ["path", "method_id", "name"]), ["path", "method_id", "name"], "left")
     rows = rows.join(flag(members, "elsewhere", ["key"]), "key", "left").join(flag(texts, "named", ["key"]), "key", "left").join(flag(emitted, "emitted", ["key"]), "key", "left")
     if connections is not None:
         rows = rows.join(flag(connections.select(F.lower("method").alias("key")), "connected", ["key"]), "key", "left")
@@ -206,8 +211,7 @@ def dead_code(nodes: DataFrame, uses: DataFrame, connections: DataFrame | None =
     alive = (
         F.when(kind == "func", yes("called") | yes("connected") | yes("local") | F.col("name").isin(ENGINE_CALLBACKS) | (yes("named") if reflection else F.lit(False)))
         .when(kind == "signal", yes("emitted"))
-        .when(kind == "param", yes("local") | F.col("name").startswith("_"))
-        .when(kind == "local", yes("local") | F.col("name").startswith("_"))
+        .when(kind.isin("param", "local"), yes("in_method") | F.col("name").startswith("_"))
         .otherwise(yes("local") | yes("elsewhere"))
     )
     code = (

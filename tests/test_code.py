@@ -164,3 +164,10 @@ def test_lcs_is_the_table_s():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert duplicates.lcs_length(a, b) == table[-1][-1]
+
+
+def test_liveness_looks_inside_methods(spark):
+    """A local of one method isn't used by its name in another, and a method that calls itself has no caller."""
+    p = of(spark, {"a.gd": "func a():\n\tvar x = 1\n\n\nfunc b(x):\n\tprint(x)\n\n\nfunc again(n):\n\tagain(n)\n"})
+    rows = {(r.kind, r.name) for r in code.dead_code(p.nodes, p.uses).collect()}
+    assert ("local", "x") in rows and ("param", "x") not in rows and ("func", "again") in rows
