@@ -92,6 +92,7 @@ FINDINGS: list[Feature] = [
     _f("GD7014", "func f() -> void:\n\tvar a: Node = null\n\tif a:\n\t\tif a:\n\t\t\tprint(a)\n"),
     _f("GD7015", 'func f() -> void:\n\tcall("nothing")\n\tcall("f")\n'),
     _f("GD7016", 'var there: int\n\n\nfunc f() -> void:\n\tset("nothing", 1)\n\tset("there", 1)\n'),
+    _f("GD7017", 'extends Node\n\n\nfunc f() -> void:\n\tget_node_or_null("X").queue_free()\n\tvar n = get_node_or_null("Y")\n\tif n:\n\t\tn.queue_free()\n', whole=True),
     _f("GD7018", "var v = $Here\n@onready var w = $Here\n"),
     _f("GD7019", "func f(b: Node) -> void:\n\tvar a: Sprite2D = null\n\ta = b\n\tprint(a)\n"),
     _f("GD7020", "func f(a) -> void:\n\tprint(a)\n\n\nfunc g() -> void:\n\tf(1)\n\tf(2)\n"),
