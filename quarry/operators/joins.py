@@ -58,10 +58,15 @@ def fuzzy_pairs(names: DataFrame, candidates: DataFrame, name: str, candidate: s
         return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: piece(column, i, F.length(column), F.lit(0)))
 
     def windows(column: Column) -> Column:
-        """The pieces of a name of each near length, read at each near place."""
-        side = 2 * most + 1
-        every = F.sequence(F.lit(0), F.lit(parts * side * side - 1))
-        return F.array_distinct(F.transform(every, lambda j: piece(column, j % parts, F.length(column) + F.floor(j / parts).cast("int") % side - most, F.floor(j / (parts * side)).cast("int") - most)))
+        """The pieces of a name of each near length, read at each near place.
+
+        A piece moved by ``shift`` in names whose lengths differ by ``apart`` takes at
+        least |shift| edits before it and |apart + shift| after it.
+        """
+        near = range(-most, most + 1)
+        every = [(i, apart, shift) for i in range(parts) for apart in near for shift in near if abs(shift) + abs(apart + shift) <= most]
+        places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(apart).alias("apart"), F.lit(shift).alias("shift")) for i, apart, shift in every])
+        return F.array_distinct(F.transform(places, lambda c: piece(column, c["i"], F.length(column) + c["apart"], c["shift"])))
 
     left = names.select(name, F.explode(pieces(F.col(name))).alias("k"))
     right = candidates.select(candidate, F.explode(windows(F.col(candidate))).alias("k"))
