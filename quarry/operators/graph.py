@@ -145,9 +145,39 @@ def in_cycle(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     return parts.join(large, "component", "left_semi").select("node").unionByName(loops).distinct()
 
 
-def levels(edges: DataFrame) -> DataFrame:
-    """(node, level): the longest path from a source, for nodes that no cycle leads to."""
-    e = staged(edges.select("src", "dst").distinct(), "edges")
+def _levels_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, level) of all edges of a task, by taking off sources."""
+    found = list(batches)
+    if not found:
+        return
+    src, dst = (pa.chunked_array([b.column(k) for b in found]).combine_chunks() for k in (0, 1))
+    names = pa.concat_arrays([src, dst]).dictionary_encode()
+    codes = names.indices.to_numpy(zero_copy_only=False)
+    heads, tails = codes[: len(src)], codes[len(src) :]
+    n = len(names.dictionary)
+    order = np.argsort(heads, kind="stable")
+    after, first = tails[order], np.searchsorted(heads[order], np.arange(n + 1))
+    waits, level = np.bincount(tails, minlength=n), np.full(n, -1)
+    ready, at = np.flatnonzero(waits == 0), 0
+    while len(ready):
+        level[ready] = at
+        sizes = first[ready + 1] - first[ready]
+        place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first[ready], sizes)
+        gone = np.bincount(after[place], minlength=n)
+        waits -= gone
+        ready, at = np.flatnonzero((waits == 0) & (gone > 0)), at + 1
+    done = np.flatnonzero(level >= 0)
+    yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(done)), pa.array(level[done], pa.int32())], names=["node", "level"])
+
+
+def levels(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(node, level): the longest path from a source, for nodes that no cycle leads to.
+
+    Small graphs go through one task; others take off their sources round by round.
+    """
+    e = staged(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct(), "edges")
+    if e.count() <= local_edges:
+        return e.repartition(1).mapInArrow(_levels_of, f"node {e.schema['src'].dataType.simpleString()}, level int")
     todo = staged(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
     done, level = None, 0
     while True:

@@ -35,6 +35,14 @@ def test_strong_components(spark, local):
     assert graph.strong_components(df.limit(0), local).count() == 0
 
 
+@pytest.mark.parametrize("local", [10**6, 0])
+def test_levels(spark, local):
+    edges = [(1, 2), (2, 3), (1, 3), (4, 3), (3, 5), (6, 7), (7, 6), (7, 8), (9, 9), (5, 10)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert {r.node: r.level for r in graph.levels(df, local).collect()} == {1: 0, 4: 0, 2: 1, 3: 2, 5: 3, 10: 4}
+    assert graph.levels(df.limit(0), local).count() == 0
+
+
 def test_a_long_ring_stays_linear(spark):
     n = 50000
     ring = spark.range(n).selectExpr("id AS src", f"(id + 1) % {n} AS dst")
