@@ -1,4 +1,6 @@
-"""DuckDB SQL of the code queries: the rows that every supplier's scripts and scene give, reviewed by hand.
+"""DuckDB SQL of the code queries: the rows that every supplier's scripts and scene give.
+
+Most were taken from the operators' output and read through by hand, so they pin results.
 
 ``{k}`` in a text stands for the supplier's key and ``{b}`` for the one before it.
 """
