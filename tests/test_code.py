@@ -153,6 +153,31 @@ def test_similar_blocks_are_those_of_brute_force(spark, tables):
     assert len(found) == len(want) > 50 and {(r.a, r.b, round(r.score, 6)) for r in found} == want
 
 
+def test_similar_blocks_in_many_blocks_and_tiles(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(duplicates, "_BLOCK_TOKENS", 600)
+    monkeypatch.setattr(duplicates, "_TILE", 8)
+    rng = random.Random(8)
+    lists = [None, [], [], ["a"], ["a"], ["a", None], ["a", "b"]]
+    for n in (5, 12, 40, 41, 90, 130):
+        base = [f"w{rng.randint(0, 400)}" for _ in range(n)]
+        lists += [base, base, *([w if rng.random() < 0.88 else f"x{rng.randint(0, 9)}" for w in base] for _ in range(20))]
+        lists += [[v for k, w in enumerate(base) for v in ([w, "and"] if k % 3 == 2 else [w])]]
+    rows = [(f"k{i:03}", t) for i, t in enumerate(lists)] + [(None, ["a"])]
+    want = {}
+    for i, (a, x) in enumerate(rows[:-1]):
+        for b, y in rows[i + 1 : -1]:
+            if x is not None and y is not None and (score := 2 * duplicates.lcs_length(x, y) / (len(x) + len(y)) if x or y else 1.0) >= 0.8:
+                want[a, b] = round(score, 6)
+    frame = spark.createDataFrame(rows, "id string, t array<string>").repartition(5)
+    found = duplicates.similar_blocks(frame, "id", "t").collect()
+    assert len(found) == len(want) > 500 and {(r.a, r.b): round(r.score, 6) for r in found} == want
+    least = {tuple(t): k for k, t in reversed(rows[:-1]) if t is not None}.values()
+    found = duplicates.similar_blocks(frame, "id", "t", distinct=True).collect()
+    assert len(found) < len(want) and {(r.a, r.b): round(r.score, 6) for r in found} == {p: s for p, s in want.items() if {*p} <= {*least}}
+
+
 def test_lcs_is_the_table_s():
     import random
 

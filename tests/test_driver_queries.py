@@ -56,6 +56,15 @@ def test_dup_similar_is_brute_force_over_documents(spark, tables):
     assert want and len(found) == len(want) and {(r.a, r.b, r.score) for r in found} == want
 
 
+def test_dup_similar_shuffles_less_than_its_texts(spark, tables):
+    def written():
+        return sum(e.totalShuffleWrite() for e in [spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0)])
+
+    before, texts = written(), sum(len((r.text or "").encode()) for r in spark.read.parquet(f"{tables}/documents.parquet").collect())
+    assert QUERIES["dup_similar"](spark, tables).count() > 0
+    assert written() - before < texts
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 
