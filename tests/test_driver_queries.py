@@ -65,6 +65,23 @@ def test_dup_similar_shuffles_less_than_its_texts(spark, tables):
     assert written() - before < texts
 
 
+def test_dup_similar_sends_no_texts_for_a_few_pairs_in_common(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(5, 9))) for _ in range(100)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(400)]
+    rows = list(enumerate([*texts, texts[7] + " again"]))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def written():
+        return sum(e.totalShuffleWrite() for e in [spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0)])
+
+    before = written()
+    assert [(r.a, r.b) for r in QUERIES["dup_similar"](spark, str(tmp_path)).collect()] == [(7, 400)]
+    assert written() - before < sum(map(len, texts))
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 
