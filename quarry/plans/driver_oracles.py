@@ -36,6 +36,7 @@ ORACLES: dict[str, str] = {
         SELECT *, CASE WHEN files <= 1 THEN 'ExtractMethod' WHEN files = 2 THEN 'ExtractToBase' ELSE 'CreateUtilityFunc' END AS suggestion FROM g""",
     "dup_line_blocks": f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), b AS (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS s FROM d)
         SELECT {_BLOCK.format("array_to_string(l[s:s+2], chr(10))")} AS hash, count(*) AS instances FROM b GROUP BY 1 HAVING count(*) >= 2""",
+    "dup_similar_classes": r"""SELECT doc_id, min(doc_id) OVER (PARTITION BY regexp_replace(lower(trim(text)), '[\s\x0B]+', ' ', 'g')) AS class_id FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL""",
     "dup_instances_merged": """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), b AS (SELECT doc_id, l, unnest(range(1, len(l))) AS s FROM d),
         h AS (SELECT doc_id, s, array_to_string(l[s:s+1], chr(10)) AS t FROM b), k AS (SELECT *, count(*) OVER (PARTITION BY t) AS c FROM h),
         m AS (SELECT doc_id, s, s + 1 AS e FROM k WHERE c >= 2),

@@ -178,6 +178,15 @@ def test_similar_blocks_in_many_blocks_and_tiles(spark, monkeypatch):
     assert len(found) < len(want) and {(r.a, r.b): round(r.score, 6) for r in found} == {p: s for p, s in want.items() if {*p} <= {*least}}
 
 
+def test_similar_blocks_of_a_key_with_several_lists(spark):
+    one, two = ([f"{c}{i}" for i in range(30)] for c in "xy")
+    rows = [(1, one), (1, two), (1, two), (2, [*one, "z"]), (3, [*two, "z"]), (4, [None, "\n", "[", '"', "é"]), (5, [None, "\n", "[", '"', "é", "?"])]
+    found = duplicates.similar_blocks(spark.createDataFrame(rows, "id long, t array<string>"), "id", "t", distinct=True).collect()
+    assert sorted((r.a, r.b, round(r.score, 3)) for r in found) == [(1, 2, 0.984), (1, 3, 0.984), (4, 5, 0.909)]
+    rows = spark.createDataFrame([(2, []), (1, []), (3, ["a", None]), (4, ["a"]), (5, None), (None, ["a"]), (6, ["a", None]), (6, ["a", None])], "id long, t array<string>")
+    assert sorted(map(tuple, duplicates.block_classes(rows, "id", "t").collect())) == [(1, 1), (2, 1), (3, 3), (4, 4), (6, 3)]
+
+
 def test_lcs_is_the_table_s():
     import random
 

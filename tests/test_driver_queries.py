@@ -82,6 +82,22 @@ def test_dup_similar_sends_no_texts_for_a_few_pairs_in_common(spark, tmp_path):
     assert written() - before < sum(map(len, texts))
 
 
+def test_dup_similar_and_its_classes_lose_no_link_of_any_document(spark, tables):
+    import re
+
+    from quarry.operators.duplicates import lcs_length
+
+    docs = [(r.doc_id, re.split(r"\s+", r.text.strip(" ").lower())) for r in spark.read.parquet(f"{tables}/documents.parquet").collect()]
+    pairs = [(i, j, a, b) for k, (i, a) in enumerate(docs) for j, b in docs[k + 1 :] if 2 * min(len(a), len(b)) >= 0.79 * (len(a) + len(b))]
+    want = {(min(i, j), max(i, j), round(score, 6)) for i, j, a, b in pairs if (score := 2 * lcs_length(a, b) / (len(a) + len(b))) >= 0.8}
+    rows = QUERIES["dup_similar_classes"](spark, tables).collect()
+    members = {c: [r.doc_id for r in rows if r.class_id == c] for c in {r.class_id for r in rows}}
+    assert len(rows) == len(docs) > len(members)
+    links = [(i, j, r.score) for r in QUERIES["dup_similar"](spark, tables).collect() for i in members[r.a] for j in members[r.b]]
+    links += [(i, j, 1.0) for m in members.values() for i in m for j in m if i < j]
+    assert len(links) == len(want) and {(min(i, j), max(i, j), s) for i, j, s in links} == want
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 
